@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import Scratch, table
 from batchloom.llm.minhash import edited_fingerprints
+from batchloom.llm.secrets import digest, find_secrets
 from batchloom.llm.simhash import near_duplicates
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -21,7 +26,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_minhash": op3_minhash, "op8_simhash": op8_simhash}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op3_minhash": op3_minhash, "op8_simhash": op8_simhash}
 
 #: Only what SQL can express; the rest is held against brute force in tests/llm.
 ORACLES: dict[str, str] = {}
