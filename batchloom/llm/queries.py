@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import Scratch, table
 from batchloom.llm.minhash import edited_fingerprints
+from batchloom.llm.mixing import ORACLE as MIXING_ORACLE
+from batchloom.llm.mixing import replicate
 from batchloom.llm.secrets import digest, find_secrets
 from batchloom.llm.simhash import near_duplicates
+from batchloom.llm.token_files import read_tokens, summary, write_tokens
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,12 +24,24 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replicate(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op3_minhash": op3_minhash, "op8_simhash": op8_simhash}
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = Scratch(spark).path("tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json")))
+    return summary(read_tokens(spark, path))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op8_simhash": op8_simhash, "op10_token_files": op10_token_files}
 
 #: Only what SQL can express; the rest is held against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": MIXING_ORACLE}
