@@ -11,6 +11,7 @@ from batchloom.llm.common import Scratch, table
 from batchloom.llm.minhash import edited_fingerprints
 from batchloom.llm.mixing import ORACLE as MIXING_ORACLE
 from batchloom.llm.mixing import replicate
+from batchloom.llm.quality import classify
 from batchloom.llm.secrets import digest, find_secrets
 from batchloom.llm.simhash import near_duplicates
 from batchloom.llm.token_files import read_tokens, summary, write_tokens
@@ -33,6 +34,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+    return found.select("doc_id", "lang", F.col("_perplexity").alias("perplexity"), F.col("_low").alias("low"), F.col("_high").alias("high"), F.col("_keep").alias("keep"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(read_tokens(spark, path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op8_simhash": op8_simhash, "op10_token_files": op10_token_files}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
 
 #: Only what SQL can express; the rest is held against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": MIXING_ORACLE}
