@@ -14,6 +14,7 @@ from batchloom.llm.mixing import replicate
 from batchloom.llm.quality import classify
 from batchloom.llm.secrets import digest, find_secrets
 from batchloom.llm.simhash import near_duplicates
+from batchloom.llm.surrogates import KINDS, pseudonymise
 from batchloom.llm.token_files import read_tokens, summary, write_tokens
 from batchloom.llm.url_lists import filter_captures, host_of
 
@@ -35,6 +36,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = pseudonymise(table(spark, sf_dir, "documents"), Scratch(spark))
+    count = lambda kind: F.size(F.filter("_found", lambda k: k == kind)).cast("bigint").alias(f"n_{kind}")
+    return new.select("doc_id", "text", "n_chars", *map(count, KINDS))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -101,7 +108,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(read_tokens(spark, path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op7_url_lists": op7_url_lists, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_pii_surrogates": op2_pii_surrogates, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op7_url_lists": op7_url_lists, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
 
 #: Only what SQL can express; the rest is held against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": MIXING_ORACLE, "op7_url_lists": _URL_ORACLE}
