@@ -17,6 +17,7 @@ from batchloom.llm.simhash import near_duplicates
 from batchloom.llm.surrogates import KINDS, pseudonymise
 from batchloom.llm.token_files import read_tokens, summary, write_tokens
 from batchloom.llm.url_lists import filter_captures, host_of
+from batchloom.llm.vector_graph import near_vectors
 
 # Dated entries of a blocking list (host, date, 1: put on, 0: taken off).
 LIST_ENTRIES = (
@@ -46,6 +47,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(table(spark, sf_dir, "documents"))
 
@@ -108,7 +113,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(read_tokens(spark, path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_pii_surrogates": op2_pii_surrogates, "op3_minhash": op3_minhash, "op6_mixing": op6_mixing, "op7_url_lists": op7_url_lists, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_pii_surrogates": op2_pii_surrogates, "op3_minhash": op3_minhash, "op4_vector_graph": op4_vector_graph, "op6_mixing": op6_mixing, "op7_url_lists": op7_url_lists, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
 
 #: Only what SQL can express; the rest is held against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": MIXING_ORACLE, "op7_url_lists": _URL_ORACLE}
