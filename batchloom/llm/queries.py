@@ -11,6 +11,7 @@ from batchloom.llm.common import Scratch, table
 from batchloom.llm.minhash import edited_fingerprints
 from batchloom.llm.mixing import ORACLE as MIXING_ORACLE
 from batchloom.llm.mixing import replicate
+from batchloom.llm.pieces import decoded, encode
 from batchloom.llm.quality import classify
 from batchloom.llm.secrets import digest, find_secrets
 from batchloom.llm.simhash import near_duplicates
@@ -51,6 +52,15 @@ def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decoded(encode(docs, Scratch(spark), path), path)
+    return back.select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").cast("bigint").alias("n_tokens"), (F.col("_decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replicate(table(spark, sf_dir, "documents"))
 
@@ -113,7 +123,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary(read_tokens(spark, path))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_pii_surrogates": op2_pii_surrogates, "op3_minhash": op3_minhash, "op4_vector_graph": op4_vector_graph, "op6_mixing": op6_mixing, "op7_url_lists": op7_url_lists, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_secret_scan": op1_secret_scan, "op2_pii_surrogates": op2_pii_surrogates, "op3_minhash": op3_minhash, "op4_vector_graph": op4_vector_graph, "op5_pieces": op5_pieces, "op6_mixing": op6_mixing, "op7_url_lists": op7_url_lists, "op8_simhash": op8_simhash, "op9_quality": op9_quality, "op10_token_files": op10_token_files}
 
 #: Only what SQL can express; the rest is held against brute force in tests/llm.
 ORACLES: dict[str, str] = {"op6_mixing": MIXING_ORACLE, "op7_url_lists": _URL_ORACLE}
