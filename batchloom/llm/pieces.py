@@ -115,31 +115,35 @@ def lattice(words: DataFrame, model: Model, carried: str) -> DataFrame:
     edges = subs.join(F.broadcast(model.table(spark)), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
     edge = F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.lowest)).alias("score"))
     grouped = edges.groupBy("word").agg(F.first(carried).alias(carried), F.sort_array(F.collect_list(edge)).alias("edges"))
-    way = "struct<start:int,id:int>"
-    none = F.struct(F.lit(0).alias("start"), F.lit(-1).alias("id"))
-    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(none).cast(f"array<{way}>").alias("back"))
+    ints = lambda x: x.cast("array<int>")
+    # positions before the one at hand in arrays, the one at hand (end, its best total and edge) in fields
+    state = lambda best, starts, ids, end, top, start, id_: F.struct(best.alias("best"), starts.alias("starts"), ids.alias("ids"), end.alias("end"), top.alias("top"), start.alias("start"), id_.alias("id"))
+    zero = state(F.array().cast("array<double>"), ints(F.array()), ints(F.array()), F.lit(0), F.lit(0.0), F.lit(0), F.lit(-1))
 
     def step(s: Column, e: Column) -> Column:
-        new = F.struct(e.start.alias("start"), e.id.alias("id"))
-        total = F.element_at(s.best, e.start + 1) + e.score
-        cut = lambda xs: F.slice(xs, 1, e.end)
-        grown = F.struct(F.concat(cut(s.best), F.array(total)).alias("best"), F.concat(cut(s.back), F.array(new)).alias("back"))
-        return F.when((F.size(s.best) <= e.end) | (total > F.element_at(s.best, e.end + 1)), grown).otherwise(s)
+        total = F.when(e.start == s.end, s.top).otherwise(F.element_at(s.best, e.start + 1)) + e.score
+        pushed = [F.concat(s.best, F.array(s.top)), F.concat(s.starts, F.array(s.start)), F.concat(s.ids, F.array(s.id))]
+        better = state(s.best, s.starts, s.ids, s.end, total, e.start, e.id)
+        return F.when(e.end != s.end, state(*pushed, e.end, total, e.start, e.id)).when(total > s.top, better).otherwise(s)
 
-    folded = F.aggregate("edges", zero, step, lambda s: s.back)
+    folded = F.aggregate("edges", zero, step, lambda s: F.struct(F.concat(s.starts, F.array(s.start)).alias("starts"), F.concat(s.ids, F.array(s.id)).alias("ids")))
 
-    def of(word: Column, w: Column) -> Column:
+    def of(word: Column, start: Column, id_: Column) -> Column:
         if model.bytes is None:
             raw = F.array(F.lit(model.unknown))
         else:
-            code = F.hex(F.encode(F.substr(word, w.start + 1, F.lit(1)), "UTF-8"))
-            raw = F.transform(F.sequence(F.lit(1), (F.char_length(code) / 2).cast("int")), lambda i: (F.conv(F.substr(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + model.bytes))
-        return F.when(w.id >= 0, F.array(w.id)).otherwise(raw)
+            code = F.hex(F.encode(F.substr(word, start + 1, F.lit(1)), "UTF-8"))
+            raw = F.transform(F.sequence(F.lit(1), (F.char_length(code) / 2).cast("int")), lambda i: F.conv(F.substr(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + model.bytes)
+        return F.when(id_ >= 0, F.array(id_)).otherwise(raw)
 
     def walk(back: Column) -> Column:
-        start = F.struct(n.alias("at"), F.array().cast("array<array<int>>").alias("out"))
-        go = lambda s: F.struct(F.element_at(back, s.at + 1).start.alias("at"), F.concat(F.array(of(F.col("word"), F.element_at(back, s.at + 1))), s.out).alias("out"))
-        return F.aggregate(F.sequence(F.lit(1), n), start, lambda s, _: F.when(s.at > 0, go(s)).otherwise(s), lambda s: F.flatten(s.out))
+        first = F.struct(n.alias("at"), ints(F.array()).alias("out"))
+
+        def go(s: Column) -> Column:
+            start = F.element_at(back.starts, s.at + 1)
+            return F.struct(start.alias("at"), F.concat(of(F.col("word"), start, F.element_at(back.ids, s.at + 1)), s.out).alias("out"))
+
+        return F.aggregate(F.sequence(F.lit(1), n), first, lambda s, _: F.when(s.at > 0, go(s)).otherwise(s), lambda s: s.out)
 
     return grouped.select("word", carried, let(folded, walk).alias("ids"))
 
