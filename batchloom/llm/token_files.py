@@ -8,9 +8,9 @@ row groups by their statistics and filters.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,15 @@ from pyspark.sql import functions as F
 
 END_ID = 2
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
-#: Pieces that a worker remembers, and the longest piece it does; both bound memory only.
-MEMO, MEMO_CHARS = 400_000, 64
+#: Pieces that a worker remembers over all its tasks, and the longest piece it does; both bound memory only.
+MEMO, MEMO_CHARS = 1_000_000, 64
+_TAIL = re.compile(r"(.*[^\W_])([.,!?;:%$&*#|]+)", re.DOTALL)
+_MADE: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizer that drops white space and never joins words across it.
+    """Ids of whole texts by a tokenizer that lowers letters, drops white space and never joins
+    words across it, nor a letter or digit with the marks behind it.
 
     A text is cut at spaces and line feeds, and each distinct piece is encoded once: its ids do
     not depend on what stands beyond the white space (tests hold this against whole texts).
@@ -37,33 +40,43 @@ class Encoder:
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
 
-    def _encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    @staticmethod
+    def of(path: str) -> Encoder:
+        """The worker's own encoder: what one task has learned serves the next."""
+        return _MADE.get(path) or _MADE.setdefault(path, Encoder(path))
+
+    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
+        for at in range(0, len(pieces), 10_000):
+            some = pieces[at : at + 10_000]
+            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                into[piece] = np.array(got.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; offsets of the texts)."""
-        cut = [[p for p in (t or "").replace("\n", " ").split(" ") if p] for t in texts]
+        # A-Z is lowered first, which makes fewer pieces; not where a special token could come of it
+        plain = [t if not t or "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
+        cut = [(t or "").replace("\n", " ").split(" ") for t in plain]
         if len(self.memo) > MEMO:
             self.memo = {}
         known = self.memo
-        new = list({p for pieces in cut for p in pieces if p not in known})
-        once = {}
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for piece, ids in zip(some, self._encode(some), strict=True):
-                (known if len(piece) <= MEMO_CHARS else once)[piece] = ids
+        known[""] = b""
+        new = {p for pieces in cut for p in pieces if p not in known}
+        once = {p: b"" for p in new if len(p) > MEMO_CHARS}
+        tails = {p: m.groups() for p in new if p not in once and (m := _TAIL.fullmatch(p))}
+        parts = {x for pair in tails.values() for x in pair if x not in known}
+        self._learn(list((new - once.keys() - tails.keys()) | parts), known)
+        self._learn(list(once), once)
+        known.update((p, known[stem] + known[marks]) for p, (stem, marks) in tails.items())
         find = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
-        rows = []
-        for pieces in cut:
-            rows.append(np.fromiter(chain.from_iterable(map(find, pieces)), np.int32))
-            rows.append(np.array([END_ID], np.int32))
-        sizes = np.array([len(rows[i]) + 1 for i in range(0, len(rows), 2)], np.int64)
-        return np.concatenate(rows) if rows else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(sizes)))
+        end = np.array([END_ID], "<u4").tobytes()
+        rows = [b"".join(map(find, pieces)) + end for pieces in cut]
+        ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
+        return ids, np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int64)
 
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = Encoder(path), 0, TaskContext.get().partitionId()
+        encode, seen, part = Encoder.of(path), 0, TaskContext.get().partitionId()
         for whole in batches:
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
