@@ -29,9 +29,9 @@ from batchloom.llm.common import Scratch, let
 
 MARK = "▁"
 #: Distinct frequent words whose ids are broadcast; they are looked for among words that a chunk has ``HOT_IN_CHUNK`` times.
-HOT_WORDS, HOT_IN_CHUNK = 300_000, 3
+HOT_WORDS, HOT_IN_CHUNK = 200_000, 3
 #: Characters of a chunk's texts; longer words than this are folded where they stand, by the same rule.
-CHUNK_CHARS, LONG_WORD = 16_000_000, 64
+CHUNK_CHARS, LONG_WORD = 8_000_000, 64
 UNKNOWN_PENALTY = 10.0
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -50,11 +50,28 @@ class Model:
         self.unknown = sp.unk_id()
         first = sp.piece_to_id("<0x00>")
         self.bytes = first if all(self.names[first + b] == f"<0x{b:02X}>" for b in range(256)) else None
-        self.longest = max(map(len, self.scores), default=1)
+        self.longest, self._useful, self._raw = max(map(len, self.scores), default=1), None, None
         self.lowest = min((s for _, s in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
 
+    def useful(self) -> dict[str, tuple[int, float]]:
+        """The pieces that can stand in a best path: those whose own pieces don't add up to more.
+
+        In a path that holds another piece, its better segmentation in its place would win.
+        """
+        if self._useful is None:
+            self._useful = {p: (i, s) for p, (i, s) in self.scores.items() if len(p) == 1 or self._parts(p) <= s}
+        return self._useful
+
+    def _parts(self, piece: str) -> float:
+        """The best total of ``piece`` cut into two pieces or more."""
+        best = [0.0]
+        for end in range(1, len(piece) + 1):
+            edges = [best[start] + (got[1] if got else self.lowest) for start in range(int(end == len(piece)), end) if (got := self.scores.get(piece[start:end])) or end - start == 1]
+            best.append(max(edges, default=float("-inf")))
+        return best[-1]
+
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, i, s) for p, (i, s) in self.scores.items()], "piece string, id int, score double")
+        return spark.createDataFrame([(p, i, s) for p, (i, s) in self.useful().items()], "piece string, id int, score double")
 
     def fallback(self, char: str) -> list[int]:
         return [self.unknown] if self.bytes is None else [self.bytes + b for b in char.encode("utf-8", "replace")]
@@ -82,17 +99,11 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids that ``encode`` made; bytes that are no UTF-8 become replacement characters."""
-        out, raw = [], bytearray()
-        for i in ids:
-            if self.bytes is not None and self.bytes <= i < self.bytes + 256:
-                raw.append(i - self.bytes)
-                continue
-            if raw:
-                out.append(raw.decode("utf-8", "replace"))
-                raw = bytearray()
-            out.append(self.names[i])
-        out.append(raw.decode("utf-8", "replace"))
-        return "".join(out).replace(MARK, " ")[1:]
+        if self._raw is None:
+            self._raw = [n.encode("utf-8", "surrogatepass") for n in self.names]
+            if self.bytes is not None:
+                self._raw[self.bytes : self.bytes + 256] = [bytes([b]) for b in range(256)]
+        return b"".join(map(self._raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
 
 
 def normalised(text: str | None) -> str:
@@ -101,15 +112,22 @@ def normalised(text: str | None) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(normalised(text))
+    """The words, each less its first mark: what stands between single spaces, in most texts."""
+    if not text:
+        return []
+    words = text.split(" ")
+    if MARK in text or "" in words:
+        return [w[1:] for w in _WORD.findall(normalised(text))]
+    return words
 
 
 def lattice(words: DataFrame, model: Model, carried: str) -> DataFrame:
     """``words`` (word, ``carried``; one row a word, dealt by word) with ``ids``."""
     spark = words.sparkSession
     n = F.char_length("word")
+    longest = max(map(len, model.useful()), default=1)
     starts = words.select("word", carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("word", carried, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("start")))).alias("len"))
+    spans = starts.select("word", carried, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("len"))
     subs = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
     # the piece table is a fixed vocabulary: its size doesn't depend on the texts
     edges = subs.join(F.broadcast(model.table(spark)), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
@@ -173,51 +191,82 @@ def _frequent(text_at: int):
             counts = Counter()
             for t in texts:
                 counts.update(words_of(t))
-            rows = [(w, n) for w, n in counts.items() if n >= HOT_IN_CHUNK and len(w) <= LONG_WORD]
+            rows = [(MARK + w, n) for w, n in counts.items() if n >= HOT_IN_CHUNK and len(w) < LONG_WORD]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
 
     return run
 
 
-def _packed(text_at: int, hot):
+def _key(texts: list[str | None]) -> int:
+    """What names a chunk on both ways: its texts, so a chunk that is made anew has its old name."""
+    digest = xxhash.xxh3_64()
+    for t in texts:
+        digest.update(b"\0" if t is None else t.encode("utf-8", "surrogatepass"))
+        digest.update(b"\1")
+    return digest.intdigest()
+
+
+def _one(key: int, value, kind: pa.DataType, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([key], pa.uint64()).view(pa.int64()), pa.array([value], kind)], ["chunk", name])
+
+
+def _rare(text_at: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
+        for _, texts in _chunks(batches, text_at):
+            seen = set()
+            for t in texts:
+                seen.update(words_of(t))
+            yield _one(_key(texts), sorted(MARK + w for w in seen if w not in known and len(w) < LONG_WORD), pa.list_(pa.string()), "words")
+
+    return run
+
+
+def _packed(text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in _chunks(batches, text_at):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(table.combine_chunks())
-            blob = sink.getvalue().to_pybytes()
-            rare = set()
-            for t in texts:
-                rare.update(words_of(t))
-            rare = sorted(w for w in rare if w not in known and len(w) <= LONG_WORD)
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(blob)], pa.uint64()).view(pa.int64()), pa.array([blob], pa.binary()), pa.array([rare], pa.list_(pa.string()))], ["chunk", "blob", "words"])
+            yield _one(_key(texts), sink.getvalue().to_pybytes(), pa.binary(), "blob")
 
     return run
 
 
+class Known(dict):
+    """Ids (as bytes) of frequent words; other words are looked up among the chunk's answers."""
+
+    def __init__(self, hot: dict[str, bytes], model: Model):
+        super().__init__(hot)
+        self.model, self.own = model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.own.get(word)
+        if got is None:
+            if len(word) < LONG_WORD:
+                raise RuntimeError(f"no ids for {word!r}: the chunk was made anew from other rows")
+            got = self.own[word] = np.array(self.model.segment(MARK + word), "<i4").tobytes()
+        return got
+
+
 def _unpacked(path: str, text_at: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = Model(path), hot.value
+        known = None
         for batch in batches:
-            for blob, answers in zip(batch.column(0), batch.column(1), strict=True):
-                own = {}
-                for part in answers.as_py() or []:
-                    own[part["word"]] = part["ids"]
-                table = pa.ipc.open_stream(blob.as_py()).read_all()
-
-                def find(word, own=own):
-                    got = known.get(word) or own.get(word)
-                    if got is None:
-                        if len(word) <= LONG_WORD:
-                            raise RuntimeError(f"no ids for {word!r}: the chunk was made anew from other rows")
-                        got = own[word] = model.segment(word)
-                    return got
-
-                for whole in table.to_batches(max_chunksize=2000):
-                    rows = [np.fromiter(chain.from_iterable(map(find, words_of(t))), np.int32) for t in whole.column(text_at).to_pylist()]
-                    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
-                    ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32))).cast(pa.list_(pa.int32()))
+            for row in range(batch.num_rows):
+                known = known if known is not None else Known(hot.value, Model(path))
+                answers = batch.column(1)[row].values
+                known.own = {}
+                if answers is not None and len(answers):
+                    ids = answers.field("ids")
+                    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4").tobytes()
+                    known.own = {w[1:]: flat[4 * s : 4 * e] for w, s, e in zip(answers.field("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
+                table = pa.ipc.open_stream(batch.column(0)[row].as_py()).read_all()
+                find = known.__getitem__
+                for whole in table.to_batches(max_chunksize=1000):
+                    rows = [b"".join(map(find, words_of(t))) for t in whole.column(text_at).to_pylist()]
+                    offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int64)
+                    ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4"))).cast(pa.list_(pa.int32()))
                     yield pa.RecordBatch.from_arrays([*whole.columns, ids], [*whole.schema.names, "_ids"])
 
     return run
@@ -242,13 +291,13 @@ def encode(docs: DataFrame, scratch: Scratch, path: str) -> DataFrame:
             break
         least = r["level"]
     chosen = counted.where(level >= (1 << 30 if least is None else least)).groupBy("word").agg(F.max("n").alias("n"))
-    hot = {r["word"]: r["ids"] for r in lattice(chosen, model, "n").select("word", "ids").toLocalIterator(prefetchPartitions=True)}
+    hot = {r["word"][1:]: np.array(r["ids"], "<i4").tobytes() for r in lattice(chosen, model, "n").select("word", "ids").toLocalIterator(prefetchPartitions=True)}
     shared = spark.sparkContext.broadcast(hot)
-    packed = plain.mapInArrow(_packed(text_at, shared), "chunk bigint, blob binary, words array<string>")
-    rare = packed.select("chunk", F.explode("words").alias("word")).groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
+    rare = plain.mapInArrow(_rare(text_at, shared), "chunk bigint, words array<string>").select("chunk", F.explode("words").alias("word")).groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
     found = lattice(rare, model, "chunks").select(F.explode("chunks").alias("_chunk"), F.struct("word", "ids").alias("answer"))
     answers = found.groupBy("_chunk").agg(F.collect_list("answer").alias("answers"))
-    both = packed.select("chunk", "blob").join(answers, F.col("chunk") == F.col("_chunk"), "left").select("blob", "answers")
+    packed = plain.mapInArrow(_packed(text_at), "chunk bigint, blob binary")
+    both = packed.join(answers, F.col("chunk") == F.col("_chunk"), "left").select("blob", "answers")
     schema = T.StructType([*plain.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
     out = both.mapInArrow(_unpacked(path, text_at, shared), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "_ids")
