@@ -25,6 +25,8 @@ from batchloom.llm.common import Scratch
 ORDER = 4
 #: Quantiles of the trusted documents' perplexity that bound what is kept, and the slack beyond them.
 LOW_Q, HIGH_Q, SLACK = 0.001, 0.998, 1.05
+#: Slack is widened by this over the root of the number of documents behind a bound.
+SMALL_SAMPLE = 2.0
 #: Held-out documents that a language's length class needs for bounds of its own.
 CLASS_DOCS = 200
 #: Model rows that are broadcast at once; a larger model is scored shard by shard.
@@ -308,14 +310,16 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, shard_rows: i
     bounds = lambda df, *by: df.groupBy(*by).agg(F.percentile_approx("bits", [LOW_Q, HIGH_Q], 10000).alias("q"), F.count("*").alias("docs"))
     shown = scratch.save(shown, "shown")
     # a row a language and length class: the classes are at most the bits of a length
-    fine = bounds(shown, "lang", "size").where(F.col("docs") >= CLASS_DOCS).select(F.col("lang").alias("_lang"), F.col("size").alias("_size"), F.col("q").alias("_fine"))
-    coarse = bounds(shown, "lang").select(F.col("lang").alias("_lang2"), F.col("q").alias("_coarse"))
+    fine = bounds(shown, "lang", "size").where(F.col("docs") >= CLASS_DOCS).select(F.col("lang").alias("_lang"), F.col("size").alias("_size"), F.struct("q", "docs").alias("_fine"))
+    coarse = bounds(shown, "lang").select(F.col("lang").alias("_lang2"), F.struct("q", "docs").alias("_coarse"))
     scored = with_log_loss(plain, fitted, scratch, shard_rows)
     scored = scored.withColumn("_at", _length_class(F.coalesce(n, F.lit(0))))
     scored = scored.join(F.broadcast(fine), scored["lang"].eqNullSafe(F.col("_lang")) & (F.col("_at") == F.col("_size")), "left").join(F.broadcast(coarse), scored["lang"].eqNullSafe(F.col("_lang2")), "left")
-    q = F.coalesce("_fine", "_coarse")
+    chosen = F.coalesce("_fine", "_coarse")
+    # a quantile of few documents is no bound for the next one: the fewer, the more slack
+    q, slack = chosen.getField("q"), SLACK * (1 + SMALL_SAMPLE / F.sqrt(chosen.getField("docs")))
     known = q.isNotNull() & (F.coalesce(n, F.lit(0)) > 0)
     ppl = F.when(known, F.exp(F.col("_loss") / n))
-    low, high = F.exp(F.element_at(q, 1)) / SLACK, F.exp(F.element_at(q, 2)) * SLACK
+    low, high = F.exp(F.element_at(q, 1)) / slack, F.exp(F.element_at(q, 2)) * slack
     keep = F.when(F.coalesce(n, F.lit(0)) == 0, False).otherwise(F.coalesce((ppl >= low) & (ppl <= high), F.lit(True)))
     return scored.select(*docs.columns, ppl.alias("_perplexity"), low.alias("_low"), high.alias("_high"), keep.alias("_keep"))
