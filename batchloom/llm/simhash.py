@@ -10,7 +10,7 @@ cells that cover each pair of parts, so none has to fit into one task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,20 +28,28 @@ SHINGLE, SEED, BITS, GROUP = 4, 42, 4, 1024
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 
 
-def simhash(text: str | None, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint; 0 for a null text or one without words.
+def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """A 64-bit hash of each ``width`` words in a row; none for a null text or one without words.
 
     Words are cut at space and 0x09-0x0D, A-Z is lowered and nothing else; a text of fewer than
     ``width`` words is one shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII rules for both
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, n = b" ".join(words), max(1, len(words) - width + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends, digest = ends[-n:].tolist(), xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def simhash(text: str | None, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint over ``shingle_hashes``; 0 if there are none."""
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):  # bounded memory for very long texts
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -155,6 +163,11 @@ def keep_one(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, bits: int
     Of several rows with that id (or of a group in which all ids are null) any one stays.
     """
     prints, names = grouped(docs, scratch, width, bits)
+    return first_rows(docs, scratch, prints, names, lambda text: simhash(text, width))
+
+
+def first_rows(docs: DataFrame, scratch: Scratch, prints: DataFrame, names: DataFrame, key: Callable[[str | None], int]) -> DataFrame:
+    """One row of each group: ``prints`` and ``names`` as from ``grouped``, ``key`` gives a text's fp."""
     first = prints.join(names, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     counted = scratch.save(first.groupBy("root").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")), "kept")
     if counted.where("n > 1 OR doc_id IS NULL").isEmpty():
@@ -163,15 +176,15 @@ def keep_one(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, bits: int
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
     schema = T.StructType([*plain.schema.fields, T.StructField("_fp", T.LongType())])
-    rows = plain.mapInArrow(_beside(plain.columns.index(text), width), schema).join(names.withColumnRenamed("fp", "_fp"), "_fp")
+    rows = plain.mapInArrow(_beside(plain.columns.index(text), key), schema).join(names.withColumnRenamed("fp", "_fp"), "_fp")
     one = rows.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
     return one.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
-def _beside(text: int, width: int):
+def _beside(text: int, key: Callable[[str | None], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([simhash(x.as_py(), width) for x in batch.column(text)], np.uint64)
+            prints = np.array([key(x.as_py()) for x in batch.column(text)], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints.view(np.int64))], [*batch.schema.names, "_fp"])
 
     return run
