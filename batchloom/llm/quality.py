@@ -3,8 +3,10 @@
 The unit is the character (four in a row), which needs no tokenizer, covers unseen words and keeps
 the count tables far smaller than the text. Counts are gathered over all trusted documents but a
 held-out fifth; discounts, context weights and interpolated probabilities come from joins of the
-count tables on their keys. A document's perplexity is held against a quantile of the held-out
-trusted documents of its language and length class.
+count tables on their keys. A document's mean log loss is held against that of the held-out trusted
+documents of its language: the shorter a text, the farther it may lie from their median, by one
+smooth function of its length and one rule whatever the number of documents. The documents that the
+model was fitted on are known to it and are held against one another instead.
 
 An n-gram is packed into 64 bits, 16 a character; 0 stands before the text's start, 0xFFFF for
 characters beyond the basic plane.
@@ -23,12 +25,12 @@ from pyspark.sql import types as T
 from batchloom.llm.common import Scratch
 
 ORDER = 4
-#: Quantiles of the trusted documents' perplexity that bound what is kept, and the slack beyond them.
-LOW_Q, HIGH_Q, SLACK = 0.001, 0.998, 1.05
-#: Slack is widened by this over the root of the number of documents behind a bound.
-SMALL_SAMPLE = 2.0
-#: Held-out documents that a language's length class needs for bounds of its own.
-CLASS_DOCS = 200
+#: Quantiles of the held-out trusted documents' deviation; kept is what lies within them and ``SLACK`` times their distance beyond.
+LOW_Q, HIGH_Q, SLACK = 0.1, 0.9, 1.0
+#: A mean over n characters strays by the root of 1/n, and a document from its language by that of 1/``DOC_CHARS``.
+DOC_CHARS = 4000
+#: The least distance of the quantiles, in the same unit, for languages with hardly any held-out document.
+LEAST_SPREAD = 1.5
 #: Model rows that are broadcast at once; a larger model is scored shard by shard.
 SHARD_ROWS = 3_000_000
 #: Trusted ids that are broadcast; more are joined by a shuffle.
@@ -284,8 +286,21 @@ def with_log_loss(docs: DataFrame, fitted: DataFrame, scratch: Scratch, shard_ro
     return out
 
 
-def _length_class(n: Column) -> Column:
-    return F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int")
+def _width(n: Column) -> Column:
+    return F.sqrt(1 / F.greatest(n, F.lit(1)) + F.lit(1 / DOC_CHARS))
+
+
+def bounds(shown: DataFrame) -> DataFrame:
+    """(_lang, _fit, _middle, _below, _above) from (lang, fit, n, bits) of trusted documents.
+
+    Kept are mean log losses from _middle + _below x width(n) to _middle + _above x width(n).
+    """
+    middle = shown.groupBy("lang", "fit").agg(F.percentile_approx("bits", 0.5, 10000).alias("_middle")).withColumnsRenamed({"lang": "_lang", "fit": "_fit"})
+    strayed = shown.join(F.broadcast(middle), shown["lang"].eqNullSafe(F.col("_lang")) & (F.col("fit") == F.col("_fit"))).withColumn("_u", (F.col("bits") - F.col("_middle")) / _width(F.col("n")))
+    q = strayed.groupBy("_lang", "_fit", "_middle").agg(F.percentile_approx("_u", [LOW_Q, HIGH_Q], 10000).alias("q"))
+    low, high = F.element_at("q", 1), F.element_at("q", 2)
+    spread = F.greatest(high - low, F.lit(LEAST_SPREAD))
+    return q.select("_lang", "_fit", "_middle", (low - SLACK * spread).alias("_below"), (high + SLACK * spread).alias("_above"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -293,33 +308,28 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, shard_rows: i
 
     Trusted are the documents whose id has quality 1 in ``labels`` (doc_id, quality). A text
     without characters (or null) has no perplexity and is not kept. A language (a null one is one
-    of its own) without trusted text has no bounds and its other documents are kept. Length
-    classes with fewer than ``CLASS_DOCS`` held-out documents take the bounds of their language.
+    of its own) without held-out trusted text has no bounds and its other documents are kept.
     Rows with equal ids stay separate rows and an empty table gives none; other columns pass through.
     """
     plain = docs.select(*[F.col(c) for c in docs.columns])
     ids = labels.where(F.col("quality") == 1).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    trusted = plain.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(ids, "doc_id", "left_semi")
-    held_out = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(5)) == 0
+    few = ids.count() <= BROADCAST_IDS
+    trusted = plain.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    held_out = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(9)), F.lit(5)) == 0
     fitted = model(trusted.where(~held_out), scratch)
     n = F.char_length("text")
-    loss = with_log_loss(trusted.where(held_out), fitted, scratch, shard_rows).where(n > 0)
-    shown = loss.select("lang", _length_class(n).alias("size"), (F.col("_loss") / n).alias("bits"))
-    bounds = lambda df, *by: df.groupBy(*by).agg(F.percentile_approx("bits", [LOW_Q, HIGH_Q], 10000).alias("q"), F.count("*").alias("docs"))
-    shown = scratch.save(shown, "shown")
-    # a row a language and length class: the classes are at most the bits of a length
-    fine = bounds(shown, "lang", "size").where(F.col("docs") >= CLASS_DOCS).select(F.col("lang").alias("_lang"), F.col("size").alias("_size"), F.struct("q", "docs").alias("_fine"))
-    coarse = bounds(shown, "lang").select(F.col("lang").alias("_lang2"), F.struct("q", "docs").alias("_coarse"))
+    loss = with_log_loss(trusted, fitted, scratch, shard_rows).where(n > 0)
+    shown = scratch.save(loss.select("lang", (~held_out).alias("fit"), n.alias("n"), (F.col("_loss") / n).alias("bits")), "shown")
+    cuts = scratch.save(bounds(shown), "cuts")  # two rows a language
     scored = with_log_loss(plain, fitted, scratch, shard_rows)
-    scored = scored.withColumn("_at", _length_class(F.coalesce(n, F.lit(0))))
-    scored = scored.join(F.broadcast(fine), scored["lang"].eqNullSafe(F.col("_lang")) & (F.col("_at") == F.col("_size")), "left").join(F.broadcast(coarse), scored["lang"].eqNullSafe(F.col("_lang2")), "left")
-    chosen = F.coalesce("_fine", "_coarse")
-    # a quantile of few documents is no bound for the next one: the fewer, the more slack
-    q, slack = chosen.getField("q"), SLACK * (1 + SMALL_SAMPLE / F.sqrt(chosen.getField("docs")))
-    known = q.isNotNull() & (F.coalesce(n, F.lit(0)) > 0)
+    known_id = ids.select(F.col("doc_id").alias("_id"))
+    if few:
+        known_id = F.broadcast(known_id)
+    scored = scored.join(known_id, scored["doc_id"].cast("bigint") == F.col("_id"), "left").withColumn("_in", F.col("_id").isNotNull() & F.coalesce(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(5)) != 0, F.lit(False)))
+    scored = scored.join(F.broadcast(cuts), scored["lang"].eqNullSafe(F.col("_lang")) & (F.col("_in") == F.col("_fit")), "left")
+    known = F.col("_middle").isNotNull() & (F.coalesce(n, F.lit(0)) > 0)
     ppl = F.when(known, F.exp(F.col("_loss") / n))
-    low, high = F.exp(F.element_at(q, 1)) / slack, F.exp(F.element_at(q, 2)) * slack
+    width = _width(F.coalesce(n, F.lit(0)))
+    low, high = F.exp(F.col("_middle") + F.col("_below") * width), F.exp(F.col("_middle") + F.col("_above") * width)
     keep = F.when(F.coalesce(n, F.lit(0)) == 0, False).otherwise(F.coalesce((ppl >= low) & (ppl <= high), F.lit(True)))
     return scored.select(*docs.columns, ppl.alias("_perplexity"), low.alias("_low"), high.alias("_high"), keep.alias("_keep"))

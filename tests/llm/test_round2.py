@@ -5,8 +5,9 @@ import random
 import pytest
 
 import corpus_pipeline
-from batchloom.llm import common, near_copies
+from batchloom.llm import common, near_copies, quality
 
+SF = "/root/testdata/sf0.1"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -59,3 +60,13 @@ def test_groups_are_what_exact_links_connect(spark, scratch, group):
                 want[at] = i
                 ahead += [j for j in range(len(texts)) if j not in want and jaccard(texts[at] or "", texts[j] or "") >= 0.8]
     assert got == want
+
+
+# ---- 9: quality ----
+
+
+def test_labelled_junk_goes(spark, scratch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    found = quality.classify(spark.read.parquet(f"{SF}/documents.parquet"), labels, scratch).join(labels, "doc_id").collect()
+    kept = lambda q: [r["_keep"] for r in found if r["quality"] == q]
+    assert sum(kept(0)) <= 0.05 * len(kept(0)) and sum(kept(1)) >= 0.97 * len(kept(1))
