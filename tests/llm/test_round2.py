@@ -70,3 +70,12 @@ def test_labelled_junk_goes(spark, scratch):
     found = quality.classify(spark.read.parquet(f"{SF}/documents.parquet"), labels, scratch).join(labels, "doc_id").collect()
     kept = lambda q: [r["_keep"] for r in found if r["quality"] == q]
     assert sum(kept(0)) <= 0.05 * len(kept(0)) and sum(kept(1)) >= 0.97 * len(kept(1))
+
+
+def test_bounds_do_not_depend_on_the_number_of_documents(spark):
+    rng = random.Random(6)
+    rows = [("en", fit, n, 1.5 + rng.gauss(0, 1) * (1 / n + 1 / 4000) ** 0.5) for fit in (True, False) for n in (rng.randrange(5, 9000) for _ in range(40))]
+    shown = spark.createDataFrame(rows, "lang string, fit boolean, n int, bits double")
+    cuts = lambda df: sorted(tuple(r) for r in quality.bounds(df).collect())
+    assert cuts(shown) == cuts(shown.crossJoin(spark.range(100).select()))
+    assert not hasattr(quality, "CLASS_DOCS") and not hasattr(quality, "SMALL_SAMPLE")
