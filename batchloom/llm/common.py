@@ -24,6 +24,17 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session for what runs inside."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 class Scratch:
     """Written tables in the shared folder named by ``spark.checkpoint.dir``.
 

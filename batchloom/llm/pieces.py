@@ -1,142 +1,198 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Words (a run of word marks and what follows it) are segmented into the pieces of greatest total
-score, the scores being those of the model file. The lattice is relational: the substrings of a
-word up to the longest piece are exploded and equi-joined to the piece table, the edges are
-grouped by word, and Spark's ``aggregate`` folds Viterbi over them.
-
-Each distinct word meets the lattice once. Texts are dealt into chunks; words frequent in the
-corpus (at most ``HOT_WORDS``, so their table can be broadcast) are segmented first, and each chunk
-then asks only for the other words it holds and gets their ids back. Texts travel once, compressed,
-to meet them.
+A text is cut into segments wherever no piece of the vocabulary holds the two characters on either
+side: no segmentation can cross such a place, so each distinct segment is worked out once. The
+lattice is relational: the substrings of a segment up to the longest piece are exploded and
+equi-joined to the piece table, the edges are grouped by segment, and Spark's ``aggregate`` folds
+over them. The fold follows the kind of the model file. Scores that are log-likelihoods are folded
+by Viterbi: the path of greatest total. Scores of a BPE file are merge ranks, and their sum means
+nothing (Viterbi over them gives other ids than the library for two words of three); there the
+fold takes the edges in the order of rank and joins two neighbours where an edge says so, which
+gives the library's ids.
+
+Texts are dealt into chunks, and a chunk is written as its distinct segments and their numbers in
+the order of the texts. Segments that most chunks hold (at most ``HOT_SEGMENTS``, so their table can
+be broadcast) are known to every worker; the ids of the others are sent back to the chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.llm.common import Scratch, let
+from batchloom.llm.common import Scratch, let, setting
 
 MARK = "▁"
-#: Distinct frequent words whose ids are broadcast; they are looked for among words that a chunk has ``HOT_IN_CHUNK`` times.
-HOT_WORDS, HOT_IN_CHUNK = 200_000, 3
-#: Characters of a chunk's texts; longer words than this are folded where they stand, by the same rule.
-CHUNK_CHARS, LONG_WORD = 8_000_000, 64
+#: Distinct segments that most chunks hold and whose ids are broadcast.
+HOT_SEGMENTS = 200_000
+#: Bytes of a chunk's texts (a longer text is a chunk alone), and distinct segments of a lattice task.
+CHUNK_BYTES, LATTICE_SEGMENTS = 8_000_000, 50_000
+#: Longer segments (runs of one letter, of spaces) are folded where they stand, by the same rule: the
+#: lattice keeps the boundaries of a segment in the bits of one number.
+LONG = 61
 UNKNOWN_PENALTY = 10.0
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Characters by which the longest piece with the same beginning is found.
+_HEAD = 4
+_NO_PIECE = (1 << 24) - 1
 
 
 class Model:
-    """The pieces, scores and byte pieces of a SentencePiece model file."""
+    """Pieces, scores and byte pieces, from a SentencePiece model file or a table of scores.
 
-    def __init__(self, path: str):
+    ``merges``: the scores are merge ranks of a BPE model (whole numbers), not log-likelihoods.
+    """
+
+    def __init__(self, names: list[str], scores: dict[str, tuple[int, float]], unknown: int, bytes_: int | None, merges: bool | None = None):
+        self.names, self.scores, self.unknown, self.bytes = names, scores, unknown, bytes_
+        self.merges = all(s == int(s) for _, s in scores.values()) if merges is None else merges
+        self.longest = max(map(len, scores), default=1)
+        self.lowest = min((s for _, s in scores.values()), default=0.0) - UNKNOWN_PENALTY
+        order = {s: i for i, s in enumerate(sorted({s for _, s in scores.values()}, reverse=True))}
+        self.ranks = {p: order[s] for p, (_, s) in scores.items()}
+        self.pairs = {p[k : k + 2] for p in scores for k in range(len(p) - 1)}
+        self._raw = self._kinds = None
+        if any(MARK in p.lstrip(MARK) for p in scores):
+            raise ValueError("a piece spans words: texts cannot be cut at spaces")
+
+    @classmethod
+    def read(cls, path: str) -> Model:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = sp.get_piece_size()
-        self.path, self.names = path, [sp.id_to_piece(i) for i in range(n)]
-        plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
-        self.scores = {self.names[i]: (i, float(sp.get_score(i))) for i in plain}
-        self.unknown = sp.unk_id()
+        names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
+        plain = [i for i in range(len(names)) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         first = sp.piece_to_id("<0x00>")
-        self.bytes = first if all(self.names[first + b] == f"<0x{b:02X}>" for b in range(256)) else None
-        self.longest, self._useful, self._raw = max(map(len, self.scores), default=1), None, None
-        self.lowest = min((s for _, s in self.scores.values()), default=0.0) - UNKNOWN_PENALTY
-
-    def useful(self) -> dict[str, tuple[int, float]]:
-        """The pieces that can stand in a best path: those whose own pieces don't add up to more.
-
-        In a path that holds another piece, its better segmentation in its place would win.
-        """
-        if self._useful is None:
-            self._useful = {p: (i, s) for p, (i, s) in self.scores.items() if len(p) == 1 or self._parts(p) <= s}
-        return self._useful
-
-    def _parts(self, piece: str) -> float:
-        """The best total of ``piece`` cut into two pieces or more."""
-        best = [0.0]
-        for end in range(1, len(piece) + 1):
-            edges = [best[start] + (got[1] if got else self.lowest) for start in range(int(end == len(piece)), end) if (got := self.scores.get(piece[start:end])) or end - start == 1]
-            best.append(max(edges, default=float("-inf")))
-        return best[-1]
+        bytes_ = first if first + 256 <= len(names) and all(names[first + b] == f"<0x{b:02X}>" for b in range(256)) else None
+        return cls(names, {names[i]: (i, float(sp.get_score(i))) for i in plain}, sp.unk_id(), bytes_)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(p, i, s) for p, (i, s) in self.useful().items()], "piece string, id int, score double")
+        """The piece table: a fixed vocabulary, whatever the texts."""
+        return spark.createDataFrame([(p, i, s, self.ranks[p]) for p, (i, s) in self.scores.items()], "piece string, id int, score double, rank int")
+
+    def kinds(self) -> tuple[np.ndarray, np.ndarray]:
+        """A small number for each code point, and which two of these stand side by side in a piece."""
+        if self._kinds is None:
+            number = {c: i + 1 for i, c in enumerate(sorted({c for p in self.pairs for c in p}))}
+            kinds, joined = np.zeros(0x110000, np.uint16), np.zeros((len(number) + 1,) * 2, bool)
+            for c, i in number.items():
+                kinds[ord(c)] = i
+            for a, b in self.pairs:
+                joined[number[a], number[b]] = True
+            self._kinds = kinds, joined
+        return self._kinds
 
     def fallback(self, char: str) -> list[int]:
         return [self.unknown] if self.bytes is None else [self.bytes + b for b in char.encode("utf-8", "replace")]
 
-    def segment(self, word: str) -> list[int]:
-        """Viterbi over one word; of equal totals the one whose last pieces are longer."""
-        best, back = [0.0], [(0, 0)]
+    def segment(self, segment: str) -> list[int]:
+        """The ids of one segment, as the lattice gives them."""
+        spans = self._merged(segment) if self.merges else self._best(segment)
+        return list(chain.from_iterable([self.scores[p][0]] if p in self.scores else self.fallback(p) for p in (segment[s:e] for s, e in spans)))
+
+    def _merged(self, word: str) -> list[tuple[int, int]]:
+        """Neighbours are joined while a piece says so: best rank first, of equal ranks the leftmost."""
+        n, ranks = len(word), self.ranks
+        ends, before = list(range(1, n + 1)), list(range(-1, n))
+        ways = [(ranks[p], s, s + 1, s + 2) for s in range(n - 1) if (p := word[s : s + 2]) in ranks]
+        heapq.heapify(ways)
+        while ways:
+            _, s, m, e = heapq.heappop(ways)
+            if ends[s] != m or m >= n or ends[m] != e:
+                continue
+            ends[s], ends[m] = e, 0
+            if e < n:
+                before[e] = s
+                if (p := word[s : ends[e]]) in ranks:
+                    heapq.heappush(ways, (ranks[p], s, e, ends[e]))
+            b = before[s]
+            if b >= 0 and (p := word[b:e]) in ranks:
+                heapq.heappush(ways, (ranks[p], b, s, e))
+        spans, at = [], 0
+        while at < n:
+            spans.append((at, ends[at]))
+            at = ends[at]
+        return spans
+
+    def _best(self, word: str) -> list[tuple[int, int]]:
+        """Viterbi; of equal totals the one whose last pieces are longer."""
+        best, back = [0.0], [0]
         for end in range(1, len(word) + 1):
-            top, way = None, None
+            top, way = None, 0
             for start in range(max(0, end - self.longest), end):
                 got = self.scores.get(word[start:end])
                 if got is None and end - start > 1:
                     continue
                 total = best[start] + (got[1] if got else self.lowest)
                 if top is None or total > top:
-                    top, way = total, (start, got[0] if got else -1)
+                    top, way = total, start
             best.append(top)
             back.append(way)
-        out, end = [], len(word)
+        spans, end = [], len(word)
         while end:
-            start, id_ = back[end]
-            out.append([id_] if id_ >= 0 else self.fallback(word[start:end]))
-            end = start
-        return list(chain.from_iterable(reversed(out)))
+            spans.append((back[end], end))
+            end = back[end]
+        return spans[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids that ``encode`` made; bytes that are no UTF-8 become replacement characters."""
+    def raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all pieces end to end, marks as spaces, with each piece's start and length."""
         if self._raw is None:
-            self._raw = [n.encode("utf-8", "surrogatepass") for n in self.names]
+            raw = [n.replace(MARK, " ").encode("utf-8", "surrogatepass") for n in self.names]
             if self.bytes is not None:
-                self._raw[self.bytes : self.bytes + 256] = [bytes([b]) for b in range(256)]
-        return b"".join(map(self._raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")[1:]
+                raw[self.bytes : self.bytes + 256] = [bytes([b]) for b in range(256)]
+            sizes = np.array([len(r) for r in raw], np.int64)
+            self._raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
+        return self._raw
 
 
-def normalised(text: str | None) -> str:
-    """A mark before the text and for each space; nothing for an empty or null text."""
-    return MARK + text.replace(" ", MARK) if text else ""
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``wanted`` of ``flat`` end to end, and where each begins (and the last ends)."""
+    n = sizes[wanted]
+    ends = np.cumsum(n)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[wanted] - (ends - n), n)
+    return flat[at], np.concatenate((np.zeros(1, np.int64), ends))
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words, each less its first mark: what stands between single spaces, in most texts."""
-    if not text:
-        return []
-    words = text.split(" ")
-    if MARK in text or "" in words:
-        return [w[1:] for w in _WORD.findall(normalised(text))]
-    return words
+def _bit(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
 
 
-def lattice(words: DataFrame, model: Model, carried: str) -> DataFrame:
-    """``words`` (word, ``carried``; one row a word, dealt by word) with ``ids``."""
-    spark = words.sparkSession
-    n = F.char_length("word")
-    longest = max(map(len, model.useful()), default=1)
-    starts = words.select("word", carried, F.explode(F.sequence(F.lit(0), n - 1)).alias("start"))
-    spans = starts.select("word", carried, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("len"))
-    subs = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
-    # the piece table is a fixed vocabulary: its size doesn't depend on the texts
-    edges = subs.join(F.broadcast(model.table(spark)), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-    edge = F.struct((F.col("start") + F.col("len")).alias("end"), "start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(model.lowest)).alias("score"))
-    grouped = edges.groupBy("word").agg(F.first(carried).alias(carried), F.sort_array(F.collect_list(edge)).alias("edges"))
+def _merge_fold(edges: Column, n: Column) -> Column:
+    """Spans that are left when the edges, by rank, have joined what they can: (start, id), in order.
+
+    The state is one number: bit k is set while there is a boundary before character k. An edge
+    joins if both its ends are boundaries and exactly one lies between them.
+    """
+
+    def step(m: Column, e: Column) -> Column:
+        inner = m.bitwiseAND(e.inside)
+        return F.when((F.bit_count(inner) == 1) & (m.bitwiseAND(e.ends) == e.ends), m - inner).otherwise(m)
+
+    def spans(m: Column) -> Column:
+        joined = F.filter(edges, lambda e: (e.inside > 0) & (m.bitwiseAND(e.ends.bitwiseOR(e.inside)) == e.ends))
+        alone = F.filter(F.sequence(F.lit(0), n - 1), lambda k: F.call_function("shiftright", m, k).bitwiseAND(F.lit(3)) == 3)
+        spot = lambda e: F.struct(F.shiftright(e.key, 24).bitwiseAND(F.lit(63)).cast("int").alias("start"), e.key.bitwiseAND(F.lit(_NO_PIECE)).cast("int").alias("id"))
+        return F.array_sort(F.concat(F.transform(joined, spot), F.transform(alone, lambda k: F.struct(k.alias("start"), F.lit(_NO_PIECE).alias("id")))))
+
+    return let(F.aggregate(edges, (_bit(n + 1) - 1).cast("bigint"), step), spans)
+
+
+def _viterbi_fold(edges: Column, n: Column) -> Column:
+    """The path of greatest total over edges sorted by end and start: (start, id), in order."""
     ints = lambda x: x.cast("array<int>")
     # positions before the one at hand in arrays, the one at hand (end, its best total and edge) in fields
     state = lambda best, starts, ids, end, top, start, id_: F.struct(best.alias("best"), starts.alias("starts"), ids.alias("ids"), end.alias("end"), top.alias("top"), start.alias("start"), id_.alias("id"))
-    zero = state(F.array().cast("array<double>"), ints(F.array()), ints(F.array()), F.lit(0), F.lit(0.0), F.lit(0), F.lit(-1))
+    zero = state(F.array().cast("array<double>"), ints(F.array()), ints(F.array()), F.lit(0), F.lit(0.0), F.lit(0), F.lit(_NO_PIECE))
 
     def step(s: Column, e: Column) -> Column:
         total = F.when(e.start == s.end, s.top).otherwise(F.element_at(s.best, e.start + 1)) + e.score
@@ -144,173 +200,221 @@ def lattice(words: DataFrame, model: Model, carried: str) -> DataFrame:
         better = state(s.best, s.starts, s.ids, s.end, total, e.start, e.id)
         return F.when(e.end != s.end, state(*pushed, e.end, total, e.start, e.id)).when(total > s.top, better).otherwise(s)
 
-    folded = F.aggregate("edges", zero, step, lambda s: F.struct(F.concat(s.starts, F.array(s.start)).alias("starts"), F.concat(s.ids, F.array(s.id)).alias("ids")))
-
-    def of(word: Column, start: Column, id_: Column) -> Column:
-        if model.bytes is None:
-            raw = F.array(F.lit(model.unknown))
-        else:
-            code = F.hex(F.encode(F.substr(word, start + 1, F.lit(1)), "UTF-8"))
-            raw = F.transform(F.sequence(F.lit(1), (F.char_length(code) / 2).cast("int")), lambda i: F.conv(F.substr(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + model.bytes)
-        return F.when(id_ >= 0, F.array(id_)).otherwise(raw)
+    folded = F.aggregate(edges, zero, step, lambda s: F.struct(F.concat(s.starts, F.array(s.start)).alias("starts"), F.concat(s.ids, F.array(s.id)).alias("ids")))
 
     def walk(back: Column) -> Column:
-        first = F.struct(n.alias("at"), ints(F.array()).alias("out"))
-
-        def go(s: Column) -> Column:
-            start = F.element_at(back.starts, s.at + 1)
-            return F.struct(start.alias("at"), F.concat(of(F.col("word"), start, F.element_at(back.ids, s.at + 1)), s.out).alias("out"))
-
+        first = F.struct(n.alias("at"), F.array().cast("array<struct<start:int,id:int>>").alias("out"))
+        start = lambda s: F.element_at(back.starts, s.at + 1)
+        go = lambda s: F.struct(start(s).alias("at"), F.concat(F.array(F.struct(start(s).alias("start"), F.element_at(back.ids, s.at + 1).alias("id"))), s.out).alias("out"))
         return F.aggregate(F.sequence(F.lit(1), n), first, lambda s, _: F.when(s.at > 0, go(s)).otherwise(s), lambda s: s.out)
 
-    return grouped.select("word", carried, let(folded, walk).alias("ids"))
+    return let(folded, walk)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.Table, list[str | None]]]:
-    """Runs of rows whose texts have about CHUNK_CHARS characters (a longer text is a run alone)."""
-    held, texts, size = [], [], 0
+def lattice(segments: DataFrame, model: Model) -> DataFrame:
+    """``segments`` (word, n; one row a word of at most ``LONG`` characters, dealt by word) with ``ids``."""
+    pieces, n = model.table(segments.sparkSession), F.char_length("word")
+    # a substring can be no longer than the longest piece that begins like it
+    heads = F.broadcast(pieces.where(F.char_length("piece") >= _HEAD).groupBy(F.substr("piece", F.lit(1), F.lit(_HEAD)).alias("head")).agg(F.max(F.char_length("piece")).alias("most")))
+    starts = segments.select("word", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("start")).withColumn("head", F.substr("word", F.col("start") + 1, F.lit(_HEAD))).join(heads, "head", "left")
+    bound = F.least(F.coalesce("most", F.lit(_HEAD - 1)), n - F.col("start"))
+    spans = starts.select("word", "n", "start", F.explode(F.sequence(F.lit(1), bound)).alias("len"))
+    if model.merges:  # characters that stay alone are looked up at the end; one span keeps a segment without edges
+        spans = spans.where("len > 1 OR start = 0")
+    subs = spans.withColumn("piece", F.substr("word", F.col("start") + 1, F.col("len")))
+    edges = subs.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
+    end, id_ = F.col("start") + F.col("len"), F.coalesce("id", F.lit(_NO_PIECE))
+    if model.merges:  # key: rank, start and id
+        place = lambda x, bits: F.shiftleft(x.cast("bigint"), bits)
+        key = place(F.coalesce("rank", F.lit(0)), 30).bitwiseOR(place(F.col("start"), 24)).bitwiseOR(id_.cast("bigint"))
+        edge = F.struct(key.alias("key"), _bit(F.col("start")).bitwiseOR(_bit(end)).alias("ends"), (_bit(end) - _bit(F.col("start") + 1)).alias("inside"))
+    else:
+        edge = F.struct(end.alias("end"), "start", id_.alias("id"), F.coalesce("score", F.lit(model.lowest)).alias("score"))
+    grouped = edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    found = let(F.col("edges"), lambda edges: (_merge_fold if model.merges else _viterbi_fold)(edges, n))
+
+    # the pieces of one character, the best first: a character's place among them gives its id
+    letters = sorted((p for p in model.scores if len(p) == 1), key=lambda p: -model.scores[p][1])
+    numbers = F.split(F.lit(",".join(str(model.scores[p][0]) for p in letters)), ",").cast("array<int>")
+
+    def spelt(x: Column) -> Column:
+        def raw(char: Column) -> Column:
+            if model.bytes is None:
+                return F.array(F.lit(model.unknown))
+            code = F.hex(F.encode(char, "UTF-8"))
+            return F.transform(F.sequence(F.lit(1), (F.char_length(code) / 2).cast("int")), lambda i: F.conv(F.substr(code, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + model.bytes)
+
+        char = F.substr("word", x.start + 1, F.lit(1))
+        place = lambda at: F.when(at > 0, F.array(F.element_at(numbers, F.greatest(at, F.lit(1))))).otherwise(raw(char))
+        return F.when(x.id == _NO_PIECE, let(F.call_function("locate", char, F.lit("".join(letters))), place)).otherwise(F.array(x.id))
+
+    ids = lambda xs: F.when(F.exists(xs, lambda x: x.id == _NO_PIECE), F.flatten(F.transform(xs, spelt))).otherwise(F.transform(xs, lambda x: x.id))
+    return grouped.select("word", "n", let(found, ids).alias("ids"))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Table]:
+    """Runs of rows whose texts have about CHUNK_BYTES bytes (a longer text is a run alone)."""
+    held, size = [], 0
     for whole in batches:
-        column = whole.column(text_at).to_pylist()
         at = 0
-        for i, t in enumerate(column):
-            n = len(t or "")
-            if size and size + n > CHUNK_CHARS:
+        for i, n in enumerate(pc.binary_length(whole.column(text_at)).fill_null(0).to_pylist()):
+            if size and size + n > CHUNK_BYTES:
                 held.append(whole.slice(at, i - at))
-                yield pa.Table.from_batches(held), texts
-                held, texts, size, at = [], [], 0, i
-            texts.append(t)
+                yield pa.Table.from_batches(held)
+                held, size, at = [], 0, i
             size += n
         held.append(whole.slice(at))
-    if texts:
-        yield pa.Table.from_batches(held), texts
-
-
-def _frequent(text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in _chunks(batches, text_at):
-            counts = Counter()
-            for t in texts:
-                counts.update(words_of(t))
-            rows = [(MARK + w, n) for w, n in counts.items() if n >= HOT_IN_CHUNK and len(w) < LONG_WORD]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["word", "n"])
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _spaced(text: str) -> str:
+    """``text`` so that a cut at each space gives its words: further spaces of a run as marks, which mean the same."""
+    return re.sub("^ +| ( +)", lambda m: MARK * len(m[0]) if m[1] is None else " " + MARK * len(m[1]), text.replace(MARK, " "))
+
+
+def segments(texts: pa.Array, model: Model) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct segments, the texts as numbers of these end to end, the number of segments of each text)."""
+    texts = pc.if_else(pc.equal(texts, ""), None, texts)
+    odd = pc.fill_null(pc.match_substring_regex(texts, f"^ |  |{MARK}"), False)
+    if pc.any(odd).as_py():
+        texts = pa.array([_spaced(t) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.large_string())
+    split = pc.split_pattern(texts.cast(pa.large_string()), " ")
+    sizes = split.value_lengths().fill_null(0).to_numpy()
+    words = split.flatten().dictionary_encode()
+    if not len(words):
+        return pa.array([], pa.string()), np.zeros(0, np.int64), sizes
+    # all distinct words end to end, each behind a mark
+    spelt = MARK + MARK.join(words.dictionary.to_pylist())
+    lengths = pc.utf8_length(words.dictionary).to_numpy() + 1
+    codes = np.frombuffer(spelt.encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.cumsum(lengths) - lengths
+    kinds, joined = model.kinds()
+    cuts = np.ones(len(codes), bool)
+    cuts[1:] = ~joined[kinds[codes[:-1]], kinds[codes[1:]]]
+    cuts[begins] = True
+    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    offsets = np.concatenate((np.cumsum(width) - width, [width.sum()]))
+    at = np.flatnonzero(cuts)
+    parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets[np.append(at, len(codes))].astype(np.int64)), pa.py_buffer(spelt.encode("utf-8", "surrogatepass"))).dictionary_encode()
+    first = np.searchsorted(at, np.append(begins, len(codes)))
+    numbers, ends = _gathered(parts.indices.to_numpy().astype(np.int64), first[:-1], np.diff(first), words.indices.to_numpy().astype(np.int64))
+    return parts.dictionary, numbers, np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
+
+
+def _packed(text_at: int, shared) -> Callable:
+    """A row a chunk: its distinct segments, its texts as their numbers, its other columns."""
 
-    return run
-
-
-def _key(texts: list[str | None]) -> int:
-    """What names a chunk on both ways: its texts, so a chunk that is made anew has its old name."""
-    digest = xxhash.xxh3_64()
-    for t in texts:
-        digest.update(b"\0" if t is None else t.encode("utf-8", "surrogatepass"))
-        digest.update(b"\1")
-    return digest.intdigest()
-
-
-def _one(key: int, value, kind: pa.DataType, name: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([key], pa.uint64()).view(pa.int64()), pa.array([value], kind)], ["chunk", name])
-
-
-def _rare(text_at: int, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = hot.value
-        for _, texts in _chunks(batches, text_at):
-            seen = set()
-            for t in texts:
-                seen.update(words_of(t))
-            yield _one(_key(texts), sorted(MARK + w for w in seen if w not in known and len(w) < LONG_WORD), pa.list_(pa.string()), "words")
-
-    return run
-
-
-def _packed(text_at: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, texts in _chunks(batches, text_at):
+        place, seen = TaskContext.get().partitionId(), 0
+        for table in _chunks(batches, text_at):
+            texts = table.column(text_at).combine_chunks()
+            words, flat, sizes = segments(texts, shared.value)
+            # the frequent ones get numbers of one byte, the next of two: equal high bytes stand together and compress
+            rank = np.empty(len(words), np.int64)
+            rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
+            spelt = words.to_pylist()
+            order = sorted(range(len(spelt)), key=lambda i: ((rank[i] > 0xFF) + (rank[i] > 0xFFFF), spelt[i]))
+            number = np.empty(len(order), np.uint32)
+            number[order] = np.arange(len(order))
+            planes = number[flat].view(np.uint8).reshape(-1, 4).T.tobytes()
+            digests = [hashlib.sha256((t.as_buffer() if t.is_valid else None) or b"").digest() for t in texts.cast(pa.binary())]
+            rest = table.drop_columns([table.column_names[text_at]]).append_column("_segments", pa.array(sizes, pa.int64())).append_column("_sha256", pa.array(digests, pa.binary()))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table.combine_chunks())
-            yield _one(_key(texts), sink.getvalue().to_pybytes(), pa.binary(), "blob")
+            with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_table(rest.combine_chunks())
+            values = [(place << 32) + seen, [spelt[i] for i in order], sink.getvalue().to_pybytes(), len(planes), pa.compress(planes, "zstd", asbytes=True)]
+            kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.binary()]
+            seen += 1
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["chunk", "words", "rest", "n_planes", "planes"])
 
     return run
 
 
-class Known(dict):
-    """Ids (as bytes) of frequent words; other words are looked up among the chunk's answers."""
-
-    def __init__(self, hot: dict[str, bytes], model: Model):
-        super().__init__(hot)
-        self.model, self.own = model, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.own.get(word)
-        if got is None:
-            if len(word) < LONG_WORD:
-                raise RuntimeError(f"no ids for {word!r}: the chunk was made anew from other rows")
-            got = self.own[word] = np.array(self.model.segment(MARK + word), "<i4").tobytes()
-        return got
+def _encoded(shared, hot) -> Callable:
+    """The ids of a chunk's rows from the broadcast segments and the answers to the chunk.
 
+    Segments over ``LONG`` characters are folded here, by the same rule.
+    """
 
-def _unpacked(path: str, text_at: int, hot):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
-        for batch in batches:
-            for row in range(batch.num_rows):
-                known = known if known is not None else Known(hot.value, Model(path))
-                answers = batch.column(1)[row].values
-                known.own = {}
-                if answers is not None and len(answers):
-                    ids = answers.field("ids")
-                    at, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<i4").tobytes()
-                    known.own = {w[1:]: flat[4 * s : 4 * e] for w, s, e in zip(answers.field("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)}
-                table = pa.ipc.open_stream(batch.column(0)[row].as_py()).read_all()
-                find = known.__getitem__
-                for whole in table.to_batches(max_chunksize=1000):
-                    rows = [b"".join(map(find, words_of(t))) for t in whole.column(text_at).to_pylist()]
-                    offsets = np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int64)
-                    ids = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), "<i4"))).cast(pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*whole.columns, ids], [*whole.schema.names, "_ids"])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        model, known, own, parts = shared.value, hot.value, {}, []
+        for batch in right.to_batches():
+            ids = batch.column(2)
+            at, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().astype("<i4").tobytes()
+            own.update((w, flat[4 * s : 4 * e]) for w, s, e in zip(batch.column(1).to_pylist(), at[:-1], at[1:], strict=True))
+        for row in left.to_batches():
+            for words, rest, size, planes in zip(*(row.column(c).to_pylist() for c in ("words", "rest", "n_planes", "planes")), strict=True):
+                table = pa.ipc.open_stream(rest).read_all()
+                blobs = [known.get(w) or (own[w] if len(w) <= LONG else np.array(model.segment(w), "<i4").tobytes()) for w in words]
+                sizes = np.array([len(b) // 4 for b in blobs], np.int64)
+                numbers = np.ascontiguousarray(np.frombuffer(pa.decompress(planes, size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                ids, begins = _gathered(np.frombuffer(b"".join(blobs), "<i4"), np.cumsum(sizes) - sizes, sizes, numbers)
+                offsets = begins[np.concatenate(([0], np.cumsum(table["_segments"].to_numpy())))]
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                parts.append(table.drop_columns(["_segments", "_sha256"]).append_column("_ids", lists).append_column("_sha256", table["_sha256"]))
+        return pa.concat_tables(parts)
 
     return run
 
 
-def encode(docs: DataFrame, scratch: Scratch, path: str) -> DataFrame:
-    """``docs`` with ``_ids``, the pieces of each row's whole text.
+def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
+    """The columns of ``docs`` but text, with ``_ids``, the pieces of each row's whole text, and ``_sha256``, the text's digest.
 
     A null or empty text has no pieces. Characters without a piece become byte pieces (or the
     unknown piece, where the model has none). Rows with equal ids stay separate rows; an empty
-    table gives none; other columns pass through.
+    table gives none; other columns pass through. ``decoded`` gives the texts back.
     """
-    spark, model, text_at = docs.sparkSession, Model(path), docs.columns.index("text")
-    plain = docs.select(*[F.col(c).alias(f"c{i}") if c != "text" else F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    counted = scratch.save(plain.mapInArrow(_frequent(text_at), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
-    # the least count that lets at most HOT_WORDS through, by classes of an eighth of a doubling
+    spark, text_at = docs.sparkSession, docs.columns.index("text")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.select(*[(F.col(c).cast("string") if c == "text" else F.col(c)).alias(n) for c, n in zip(docs.columns, names, strict=True)])
+    shared = spark.sparkContext.broadcast(model)
+    # written once: a chunk that is read again, after a lost executor too, holds the same rows
+    packed = scratch.save(plain.mapInArrow(_packed(text_at, shared), "chunk bigint, words array<string>, rest binary, n_planes bigint, planes binary"), "packed")
+    wanted = packed.select("chunk", F.explode("words").alias("word")).where(F.char_length("word") <= LONG)
+    counted = scratch.save(wanted.groupBy("word").agg(F.count("*").alias("n")), "counts")
+    total = counted.count()
+    tasks = max(-(-total // LATTICE_SEGMENTS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2000)), 1)
+    # a task's segments are bounded, so their edges are grouped in memory, without a sort
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * LATTICE_SEGMENTS)):
+        known = scratch.save(lattice(counted.repartition(tasks, "word"), model), "known")
+    # the least count that lets at most HOT_SEGMENTS through, by classes of an eighth of a doubling
     level = F.floor(F.log2("n") * 8).cast("int")
-    least, total = None, 0
-    for r in sorted(counted.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        total += r["count"]
-        if total > HOT_WORDS:
+    least, held = 1 << 30, 0
+    for r in sorted(known.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > HOT_SEGMENTS:
             break
         least = r["level"]
-    chosen = counted.where(level >= (1 << 30 if least is None else least)).groupBy("word").agg(F.max("n").alias("n"))
-    hot = {r["word"][1:]: np.array(r["ids"], "<i4").tobytes() for r in lattice(chosen, model, "n").select("word", "ids").toLocalIterator(prefetchPartitions=True)}
-    shared = spark.sparkContext.broadcast(hot)
-    rare = plain.mapInArrow(_rare(text_at, shared), "chunk bigint, words array<string>").select("chunk", F.explode("words").alias("word")).groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
-    found = lattice(rare, model, "chunks").select(F.explode("chunks").alias("_chunk"), F.struct("word", "ids").alias("answer"))
-    answers = found.groupBy("_chunk").agg(F.collect_list("answer").alias("answers"))
-    packed = plain.mapInArrow(_packed(text_at), "chunk bigint, blob binary")
-    both = packed.join(answers, F.col("chunk") == F.col("_chunk"), "left").select("blob", "answers")
-    schema = T.StructType([*plain.schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
-    out = both.mapInArrow(_unpacked(path, text_at, shared), schema)
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "_ids")
-
-
-def decoded(encoded: DataFrame, path: str) -> DataFrame:
-    """``encoded`` with ``_decoded``, the text of ``_ids``."""
-    at = encoded.columns.index("_ids")
+    often = known.where(level >= least)
+    got = often.select("word", "ids").toArrow().combine_chunks()
+    ids = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    at, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().astype("<i4").tobytes()
+    hot = spark.sparkContext.broadcast({w: flat[4 * s : 4 * e] for w, s, e in zip(got["word"].to_pylist(), at[:-1], at[1:], strict=True)})
+    seldom = wanted.join(F.broadcast(often.select("word")), "word", "left_anti")
+    answers = seldom.join(known.where(level < least).select("word", "ids"), "word").select(F.col("chunk").alias("to"), "word", "ids")
+    schema = T.StructType([*[f for i, f in enumerate(plain.schema.fields) if i != text_at], T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_sha256", T.BinaryType())])
+    out = packed.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_encoded(shared, hot), schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c != "text"], "_ids", "_sha256")
+
+
+def decoded(encoded: DataFrame, model: Model) -> DataFrame:
+    """``encoded`` with ``_decoded``, the text of ``_ids`` (null ids: empty).
+
+    The space that the first piece begins with is left out; bytes that are no UTF-8 become
+    replacement characters.
+    """
+    shared, at = encoded.sparkSession.sparkContext.broadcast(model), encoded.columns.index("_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(path)
-        for batch in batches:
-            texts = [model.decode(x.as_py() or []) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "_decoded"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                lists = batch.column(at)
+                flat, cuts = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
+                raw, begins = _gathered(*shared.value.raw(), flat)
+                text, ends = raw.tobytes(), begins[cuts].tolist()
+                texts = [text[s + (s < e and text[s] == 32) : e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "_decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("_decoded", T.StringType())]))
