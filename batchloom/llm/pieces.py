@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from batchloom.llm.common import Scratch, let, setting
+from batchloom.llm.segments import chunks, gathered, segments
 
 MARK = "▁"
 #: Distinct segments that most chunks hold and whose ids are broadcast.
@@ -155,14 +156,6 @@ class Model:
         return self._raw
 
 
-def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``wanted`` of ``flat`` end to end, and where each begins (and the last ends)."""
-    n = sizes[wanted]
-    ends = np.cumsum(n)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[wanted] - (ends - n), n)
-    return flat[at], np.concatenate((np.zeros(1, np.int64), ends))
-
-
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
 
@@ -252,54 +245,18 @@ def lattice(segments: DataFrame, model: Model) -> DataFrame:
     return grouped.select("word", "n", let(found, ids).alias("ids"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.Table]:
-    """Runs of rows whose texts have about CHUNK_BYTES bytes (a longer text is a run alone)."""
-    held, size = [], 0
-    for whole in batches:
-        at = 0
-        for i, n in enumerate(pc.binary_length(whole.column(text_at)).fill_null(0).to_pylist()):
-            if size and size + n > CHUNK_BYTES:
-                held.append(whole.slice(at, i - at))
-                yield pa.Table.from_batches(held)
-                held, size, at = [], 0, i
-            size += n
-        held.append(whole.slice(at))
-    if sum(b.num_rows for b in held):
-        yield pa.Table.from_batches(held)
-
-
 def _spaced(text: str) -> str:
     """``text`` so that a cut at each space gives its words: further spaces of a run as marks, which mean the same."""
     return re.sub("^ +| ( +)", lambda m: MARK * len(m[0]) if m[1] is None else " " + MARK * len(m[1]), text.replace(MARK, " "))
 
 
-def segments(texts: pa.Array, model: Model) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def segmented(texts: pa.Array, model: Model) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(distinct segments, the texts as numbers of these end to end, the number of segments of each text)."""
     texts = pc.if_else(pc.equal(texts, ""), None, texts)
     odd = pc.fill_null(pc.match_substring_regex(texts, f"^ |  |{MARK}"), False)
     if pc.any(odd).as_py():
         texts = pa.array([_spaced(t) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.large_string())
-    split = pc.split_pattern(texts.cast(pa.large_string()), " ")
-    sizes = split.value_lengths().fill_null(0).to_numpy()
-    words = split.flatten().dictionary_encode()
-    if not len(words):
-        return pa.array([], pa.string()), np.zeros(0, np.int64), sizes
-    # all distinct words end to end, each behind a mark
-    spelt = MARK + MARK.join(words.dictionary.to_pylist())
-    lengths = pc.utf8_length(words.dictionary).to_numpy() + 1
-    codes = np.frombuffer(spelt.encode("utf-32-le", "surrogatepass"), np.uint32)
-    begins = np.cumsum(lengths) - lengths
-    kinds, joined = model.kinds()
-    cuts = np.ones(len(codes), bool)
-    cuts[1:] = ~joined[kinds[codes[:-1]], kinds[codes[1:]]]
-    cuts[begins] = True
-    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-    offsets = np.concatenate((np.cumsum(width) - width, [width.sum()]))
-    at = np.flatnonzero(cuts)
-    parts = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets[np.append(at, len(codes))].astype(np.int64)), pa.py_buffer(spelt.encode("utf-8", "surrogatepass"))).dictionary_encode()
-    first = np.searchsorted(at, np.append(begins, len(codes)))
-    numbers, ends = _gathered(parts.indices.to_numpy().astype(np.int64), first[:-1], np.diff(first), words.indices.to_numpy().astype(np.int64))
-    return parts.dictionary, numbers, np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
+    return segments(texts, *model.kinds(), MARK)
 
 
 def _packed(text_at: int, shared) -> Callable:
@@ -307,9 +264,9 @@ def _packed(text_at: int, shared) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, seen = TaskContext.get().partitionId(), 0
-        for table in _chunks(batches, text_at):
+        for table in chunks(batches, text_at, CHUNK_BYTES):
             texts = table.column(text_at).combine_chunks()
-            words, flat, sizes = segments(texts, shared.value)
+            words, flat, sizes = segmented(texts, shared.value)
             # the frequent ones get numbers of one byte, the next of two: equal high bytes stand together and compress
             rank = np.empty(len(words), np.int64)
             rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
@@ -349,7 +306,7 @@ def _encoded(shared, hot) -> Callable:
                 blobs = [known.get(w) or (own[w] if len(w) <= LONG else np.array(model.segment(w), "<i4").tobytes()) for w in words]
                 sizes = np.array([len(b) // 4 for b in blobs], np.int64)
                 numbers = np.ascontiguousarray(np.frombuffer(pa.decompress(planes, size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                ids, begins = _gathered(np.frombuffer(b"".join(blobs), "<i4"), np.cumsum(sizes) - sizes, sizes, numbers)
+                ids, begins = gathered(np.frombuffer(b"".join(blobs), "<i4"), np.cumsum(sizes) - sizes, sizes, numbers)
                 offsets = begins[np.concatenate(([0], np.cumsum(table["_segments"].to_numpy())))]
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
                 parts.append(table.drop_columns(["_segments", "_sha256"]).append_column("_ids", lists).append_column("_sha256", table["_sha256"]))
@@ -412,7 +369,7 @@ def decoded(encoded: DataFrame, model: Model) -> DataFrame:
                 batch = whole.slice(start, 500)
                 lists = batch.column(at)
                 flat, cuts = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
-                raw, begins = _gathered(*shared.value.raw(), flat)
+                raw, begins = gathered(*shared.value.raw(), flat)
                 text, ends = raw.tobytes(), begins[cuts].tolist()
                 texts = [text[s + (s < e and text[s] == 32) : e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "_decoded"])

@@ -14,77 +14,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from batchloom.llm.segments import chunks, gathered, segments
+
 END_ID = 2
 OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20)}
-#: Pieces that a worker remembers over all its tasks, and the longest piece it does; both bound memory only.
-MEMO, MEMO_CHARS = 1_000_000, 64
-_TAIL = re.compile(r"(.*[^\W_])([.,!?;:%$&*#|]+)", re.DOTALL)
+#: Bytes of texts that are encoded at once, and pieces that a worker remembers over all its tasks; both bound memory only.
+CHUNK_BYTES, MEMO = 4_000_000, 300_000
+# Letters that neither lower-casing nor normalisation changes, digits, and marks that
+# never join with what stands beside them (the apostrophe does).
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_DIGITS = "0123456789"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _MADE: dict[str, Encoder] = {}
 
 
+def _kinds() -> tuple[np.ndarray, np.ndarray]:
+    kinds, joined = np.zeros(0x110000, np.uint8), np.ones((4, 4), bool)
+    for kind, chars in enumerate((_LETTERS, _DIGITS, _MARKS), 1):
+        kinds[[ord(c) for c in chars]] = kind
+    joined[1:, 1:] = [[True, False, False], [False, False, False], [False, False, True]]
+    return kinds, joined
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer that lowers letters, drops white space and never joins
-    words across it, nor a letter or digit with the marks behind it.
+    """Ids of whole texts by a tokenizer that lowers letters, drops white space and makes one word
+    of letters in a row, of each digit, and of marks in a row.
 
-    A text is cut at spaces and line feeds, and each distinct piece is encoded once: its ids do
-    not depend on what stands beyond the white space (tests hold this against whole texts).
+    A text is cut at spaces and line feeds and between letters, digits and marks of the fixed lists
+    above, and each distinct piece is encoded once: its ids do not depend on what stands beyond the
+    cut (tests hold this against whole texts). Other characters are never cut from their neighbours.
+    A text with an opening "<|", which may be a special token, is encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo, self.kinds = Tokenizer.from_file(path), {}, _kinds()
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.word = re.compile(f"[{_LETTERS}]+")
 
     @staticmethod
     def of(path: str) -> Encoder:
         """The worker's own encoder: what one task has learned serves the next."""
         return _MADE.get(path) or _MADE.setdefault(path, Encoder(path))
 
-    def _learn(self, pieces: list[str], into: dict[str, bytes]) -> None:
-        for at in range(0, len(pieces), 10_000):
-            some = pieces[at : at + 10_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                into[piece] = np.array(got.ids, "<u4").tobytes()
-
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Those of letters alone are one word each, so many are encoded in one
+        text and parted behind the ids that end a word."""
+        out: dict[str, bytes] = {}
+        words, rest = [], []
+        for p in pieces:
+            (words if self.word.fullmatch(p) else rest).append(p)
+        for at in range(0, len(words), 5000):
+            some = words[at : at + 5000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            raw = ids.tobytes()
+            out.update(zip(some, (raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+        for at in range(0, len(rest), 5000):
+            some = rest[at : at + 5000]
+            out.update((p, np.array(got.ids, "<u4").tobytes()) for p, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
+        return out
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; offsets of the texts)."""
-        # A-Z is lowered first, which makes fewer pieces; not where a special token could come of it
-        plain = [t if not t or "<|" in t else t.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass") for t in texts]
-        cut = [(t or "").replace("\n", " ").split(" ") for t in plain]
+        odd = pc.fill_null(pc.match_substring(texts, "<|"), False)
+        # A-Z is lowered first, which makes fewer pieces
+        plain = pc.replace_substring(pc.ascii_lower(pc.if_else(odd, None, texts).cast(pa.large_string())), "\n", " ")
+        pieces, numbers, sizes = segments(plain, *self.kinds)
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
+        spelt = pieces.to_pylist()
         if len(self.memo) > MEMO:
             self.memo = {}
         known = self.memo
-        known[""] = b""
-        new = {p for pieces in cut for p in pieces if p not in known}
-        once = {p: b"" for p in new if len(p) > MEMO_CHARS}
-        tails = {p: m.groups() for p in new if p not in once and (m := _TAIL.fullmatch(p))}
-        parts = {x for pair in tails.values() for x in pair if x not in known}
-        self._learn(list((new - once.keys() - tails.keys()) | parts), known)
-        self._learn(list(once), once)
-        known.update((p, known[stem] + known[marks]) for p, (stem, marks) in tails.items())
-        find = known.__getitem__ if not once else lambda p: known[p] if p in known else once[p]
-        end = np.array([END_ID], "<u4").tobytes()
-        rows = [b"".join(map(find, pieces)) + end for pieces in cut]
-        ids = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
-        return ids, np.concatenate(([0], np.cumsum([len(r) // 4 for r in rows]))).astype(np.int64)
+        new = self._learn([p for p in spelt if p not in known])
+        blobs = [known[p] if p in known else new[p] for p in spelt]
+        known.update((p, b) for p, b in new.items() if len(p) <= 64)
+        blobs += [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes() for i in whole]
+        # the texts that were encoded whole are one number each, and so is the end id
+        ends = np.cumsum(sizes)
+        numbers = np.insert(numbers, ends[whole], len(spelt) + np.arange(len(whole)))
+        sizes[whole] += 1
+        numbers = np.insert(numbers, np.cumsum(sizes), len(blobs))
+        blobs.append(np.array([END_ID], "<u4").tobytes())
+        lengths = np.array([len(b) // 4 for b in blobs], np.int64)
+        ids, begins = gathered(np.frombuffer(b"".join(blobs), "<u4").astype(np.int32), np.cumsum(lengths) - lengths, lengths, numbers)
+        return ids, begins[np.concatenate(([0], np.cumsum(sizes + 1)))]
 
 
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, part = Encoder.of(path), 0, TaskContext.get().partitionId()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                ids, offsets = encode(batch.column(1).to_pylist())
-                lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(pa.list_(pa.int32()))
-                starts = pa.array(seen + offsets[:-1])
-                seen += int(offsets[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(batch.num_rows, part, np.int32)), starts, lists], ["doc_id", "part", "start", "ids"])
+        for table in chunks(batches, 1, CHUNK_BYTES):
+            ids, offsets = encode(table.column(1).combine_chunks())
+            lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids)).cast(pa.list_(pa.int32()))
+            starts = pa.array(seen + offsets[:-1])
+            seen += int(offsets[-1])
+            yield pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), pa.array(np.full(table.num_rows, part, np.int32)), starts, lists], ["doc_id", "part", "start", "ids"])
 
     return run
 
