@@ -38,7 +38,7 @@ MARK = "▁"
 #: Distinct segments that most chunks hold and whose ids are broadcast.
 HOT_SEGMENTS = 200_000
 #: Bytes of a chunk's texts (a longer text is a chunk alone), and distinct segments of a lattice task.
-CHUNK_BYTES, LATTICE_SEGMENTS = 8_000_000, 50_000
+CHUNK_BYTES, LATTICE_SEGMENTS = 4_000_000, 40_000
 #: Longer segments (runs of one letter, of spaces) are folded where they stand, by the same rule: the
 #: lattice keeps the boundaries of a segment in the bits of one number.
 LONG = 61
@@ -155,6 +155,17 @@ class Model:
             self._raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
         return self._raw
 
+    def texts(self, lists: pa.ListArray) -> Iterator[str]:
+        """The texts of lists of ids. The space that the first piece begins with is left out; bytes
+        that are no UTF-8 become replacement characters."""
+        for at in range(0, len(lists), 200):
+            some = lists.slice(at, 200)
+            cuts = np.concatenate(([0], np.cumsum(some.value_lengths().fill_null(0).to_numpy())))
+            raw, begins = gathered(*self.raw(), some.flatten().to_numpy())
+            text, ends = raw.tobytes(), begins[cuts].tolist()
+            for s, e in zip(ends[:-1], ends[1:], strict=True):
+                yield text[s + (s < e and text[s] == 32) : e].decode("utf-8", "replace")
+
 
 def _bit(k: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
@@ -270,20 +281,22 @@ def _packed(text_at: int, shared) -> Callable:
             # the frequent ones get numbers of one byte, the next of two: equal high bytes stand together and compress
             rank = np.empty(len(words), np.int64)
             rank[np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")] = np.arange(len(words))
-            spelt = words.to_pylist()
-            order = sorted(range(len(spelt)), key=lambda i: ((rank[i] > 0xFF) + (rank[i] > 0xFFFF), spelt[i]))
+            classes = pa.array((rank > 0xFF).astype(np.int8) + (rank > 0xFFFF))
+            order = pc.sort_indices(pa.table({"class": classes, "word": words}), sort_keys=[("class", "ascending"), ("word", "ascending")])
             number = np.empty(len(order), np.uint32)
-            number[order] = np.arange(len(order))
+            number[order.to_numpy()] = np.arange(len(order))
             planes = number[flat].view(np.uint8).reshape(-1, 4).T.tobytes()
             digests = [hashlib.sha256((t.as_buffer() if t.is_valid else None) or b"").digest() for t in texts.cast(pa.binary())]
             rest = table.drop_columns([table.column_names[text_at]]).append_column("_segments", pa.array(sizes, pa.int64())).append_column("_sha256", pa.array(digests, pa.binary()))
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
                 writer.write_table(rest.combine_chunks())
-            values = [(place << 32) + seen, [spelt[i] for i in order], sink.getvalue().to_pybytes(), len(planes), pa.compress(planes, "zstd", asbytes=True)]
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.binary(), pa.int64(), pa.binary()]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.take(order).cast(pa.string()))
+            one = lambda value, kind: pa.array([value], kind)
+            values = [one((place << 32) + seen, pa.int64()), listed, one(sink.getvalue().to_pybytes(), pa.binary()), one(len(planes), pa.int64()), one(pa.compress(planes, "zstd", asbytes=True), pa.binary())]
             seen += 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["chunk", "words", "rest", "n_planes", "planes"])
+            pa.default_memory_pool().release_unused()
+            yield pa.RecordBatch.from_arrays(values, ["chunk", "words", "rest", "n_planes", "planes"])
 
     return run
 
@@ -295,28 +308,36 @@ def _encoded(shared, hot) -> Callable:
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model, known, own, parts = shared.value, hot.value, {}, []
-        for batch in right.to_batches():
-            ids = batch.column(2)
-            at, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().astype("<i4").tobytes()
-            own.update((w, flat[4 * s : 4 * e]) for w, s, e in zip(batch.column(1).to_pylist(), at[:-1], at[1:], strict=True))
+        model, (words, lists), parts = shared.value, hot.value, []
+        words = pa.concat_arrays([words, *(b.column(1).cast(pa.string()) for b in right.to_batches())])
+        lists = pa.concat_arrays([lists, *(b.column(2).cast(lists.type) for b in right.to_batches())])
+        flat, sizes = lists.flatten().to_numpy().astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64)
         for row in left.to_batches():
-            for words, rest, size, planes in zip(*(row.column(c).to_pylist() for c in ("words", "rest", "n_planes", "planes")), strict=True):
-                table = pa.ipc.open_stream(rest).read_all()
-                blobs = [known.get(w) or (own[w] if len(w) <= LONG else np.array(model.segment(w), "<i4").tobytes()) for w in words]
-                sizes = np.array([len(b) // 4 for b in blobs], np.int64)
-                numbers = np.ascontiguousarray(np.frombuffer(pa.decompress(planes, size, "zstd", asbytes=True), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                ids, begins = gathered(np.frombuffer(b"".join(blobs), "<i4"), np.cumsum(sizes) - sizes, sizes, numbers)
+            for at in range(row.num_rows):
+                asked = row.column("words")[at].values
+                spot = pc.index_in(asked, words)
+                long = [model.segment(w) for w in asked.filter(spot.is_null()).to_pylist()]
+                spot = pc.replace_with_mask(spot, spot.is_null(), pa.array(range(len(words), len(words) + len(long)), spot.type)).to_numpy()
+                n = np.concatenate((sizes, np.array([len(x) for x in long], np.int64)))
+                every = np.concatenate((flat, np.array(list(chain.from_iterable(long)), np.int32)))
+                table = pa.ipc.open_stream(row.column("rest")[at].as_py()).read_all()
+                planes = pa.decompress(row.column("planes")[at].as_py(), row.column("n_planes")[at].as_py(), "zstd", asbytes=True)
+                numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                ids, begins = gathered(every, np.cumsum(n) - n, n, spot[numbers])
                 offsets = begins[np.concatenate(([0], np.cumsum(table["_segments"].to_numpy())))]
-                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                parts.append(table.drop_columns(["_segments", "_sha256"]).append_column("_ids", lists).append_column("_sha256", table["_sha256"]))
+                encoded = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+                digests = zip(table["_sha256"].to_pylist(), model.texts(encoded), strict=True)
+                same = pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest() == d for d, t in digests], pa.bool_())
+                parts.append(table.drop_columns(["_segments", "_sha256"]).append_column("_ids", encoded).append_column("_round_trip", same))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(parts)
 
     return run
 
 
 def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
-    """The columns of ``docs`` but text, with ``_ids``, the pieces of each row's whole text, and ``_sha256``, the text's digest.
+    """The columns of ``docs`` but text, with ``_ids``, the pieces of each row's whole text, and
+    ``_round_trip``: whether they were decoded to that text again (by its digest).
 
     A null or empty text has no pieces. Characters without a piece become byte pieces (or the
     unknown piece, where the model has none). Rows with equal ids stay separate rows; an empty
@@ -327,7 +348,8 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     plain = docs.select(*[(F.col(c).cast("string") if c == "text" else F.col(c)).alias(n) for c, n in zip(docs.columns, names, strict=True)])
     shared = spark.sparkContext.broadcast(model)
     # written once: a chunk that is read again, after a lost executor too, holds the same rows
-    packed = scratch.save(plain.mapInArrow(_packed(text_at, shared), "chunk bigint, words array<string>, rest binary, n_planes bigint, planes binary"), "packed")
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
+        packed = scratch.save(plain.mapInArrow(_packed(text_at, shared), "chunk bigint, words array<string>, rest binary, n_planes bigint, planes binary"), "packed")
     wanted = packed.select("chunk", F.explode("words").alias("word")).where(F.char_length("word") <= LONG)
     counted = scratch.save(wanted.groupBy("word").agg(F.count("*").alias("n")), "counts")
     total = counted.count()
@@ -344,34 +366,23 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
             break
         least = r["level"]
     often = known.where(level >= least)
-    got = often.select("word", "ids").toArrow().combine_chunks()
-    ids = got["ids"].combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    at, flat = ids.offsets.to_numpy().tolist(), ids.values.to_numpy().astype("<i4").tobytes()
-    hot = spark.sparkContext.broadcast({w: flat[4 * s : 4 * e] for w, s, e in zip(got["word"].to_pylist(), at[:-1], at[1:], strict=True)})
+    got = often.select("word", "ids").toArrow()
+    whole = lambda name, kind: pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in got[name].chunks)])
+    hot = spark.sparkContext.broadcast((whole("word", pa.string()), whole("ids", pa.list_(pa.int32()))))
     seldom = wanted.join(F.broadcast(often.select("word")), "word", "left_anti")
     answers = seldom.join(known.where(level < least).select("word", "ids"), "word").select(F.col("chunk").alias("to"), "word", "ids")
-    schema = T.StructType([*[f for i, f in enumerate(plain.schema.fields) if i != text_at], T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_sha256", T.BinaryType())])
+    schema = T.StructType([*[f for i, f in enumerate(plain.schema.fields) if i != text_at], T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_round_trip", T.BooleanType())])
     out = packed.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_encoded(shared, hot), schema)
-    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c != "text"], "_ids", "_sha256")
+    return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c != "text"], "_ids", "_round_trip")
 
 
 def decoded(encoded: DataFrame, model: Model) -> DataFrame:
-    """``encoded`` with ``_decoded``, the text of ``_ids`` (null ids: empty).
-
-    The space that the first piece begins with is left out; bytes that are no UTF-8 become
-    replacement characters.
-    """
+    """``encoded`` with ``_decoded``, the text of ``_ids`` (null ids: empty)."""
     shared, at = encoded.sparkSession.sparkContext.broadcast(model), encoded.columns.index("_ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 500):
-                batch = whole.slice(start, 500)
-                lists = batch.column(at)
-                flat, cuts = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())))
-                raw, begins = gathered(*shared.value.raw(), flat)
-                text, ends = raw.tobytes(), begins[cuts].tolist()
-                texts = [text[s + (s < e and text[s] == 32) : e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "_decoded"])
+        for batch in batches:
+            texts = pa.array(shared.value.texts(batch.column(at)), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "_decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("_decoded", T.StringType())]))

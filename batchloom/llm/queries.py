@@ -11,7 +11,7 @@ from batchloom.llm.common import Scratch, table
 from batchloom.llm.minhash import edited_fingerprints
 from batchloom.llm.mixing import ORACLE as MIXING_ORACLE
 from batchloom.llm.mixing import replicate
-from batchloom.llm.pieces import Model, decoded, encode
+from batchloom.llm.pieces import Model, encode
 from batchloom.llm.quality import classify
 from batchloom.llm.secrets import digest, find_secrets
 from batchloom.llm.simhash import near_duplicates
@@ -56,9 +56,8 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = Model.read(str(public_tokenizers.path("piece_bpe_32k.model")))
-    back = decoded(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), model), model)
-    same = F.sha2("_decoded", 256) == F.lower(F.hex("_sha256"))
-    return back.select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").cast("bigint").alias("n_tokens"), same.alias("round_trip"))
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark), model)
+    return found.select("doc_id", F.col("_ids").alias("ids"), F.size("_ids").cast("bigint").alias("n_tokens"), F.col("_round_trip").alias("round_trip"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,22 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, wanted: np
     return flat[at], np.concatenate((np.zeros(1, np.int64), ends))
 
 
-def segments(texts: pa.Array, kinds: np.ndarray, joined: np.ndarray, mark: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def spelt(words: pa.LargeStringArray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words end to end as UTF-8 and as code points, and the characters of each (no nulls)."""
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    raw = bytes(memoryview(data)[ends[0] : ends[-1]]) if data is not None else b""
+    return raw, np.frombuffer(raw.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32), pc.utf8_length(words).to_numpy()
+
+
+def parted(raw: bytes, codes: np.ndarray, at: np.ndarray) -> pa.LargeStringArray:
+    """What lies between the characters ``at`` (the first and the end among them) of ``raw``, numbered by distinct strings."""
+    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(width, dtype=np.int64)))[at]
+    return pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+
+
+def segments(texts: pa.Array, kinds: np.ndarray, joined: np.ndarray, mark: str = "") -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
     """(distinct segments, the texts as numbers of these end to end, the number of segments of each text).
 
     Texts are cut at spaces and ``mark`` is put before each word; words are cut wherever ``joined``
@@ -43,21 +58,17 @@ def segments(texts: pa.Array, kinds: np.ndarray, joined: np.ndarray, mark: str =
     split = pc.split_pattern(texts.cast(pa.large_string()), " ")
     sizes = split.value_lengths().fill_null(0).to_numpy()
     words = split.flatten().dictionary_encode()
-    # all distinct words end to end
-    spelt = mark + mark.join(words.dictionary.to_pylist()) if len(words) else ""
-    if not spelt:
+    distinct = pc.binary_join_element_wise(pa.scalar(mark, pa.large_string()), words.dictionary, pa.scalar("", pa.large_string())) if mark else words.dictionary
+    raw, codes, lengths = spelt(distinct)
+    if not len(codes):
         return pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-    lengths = pc.utf8_length(words.dictionary).to_numpy() + len(mark)
-    codes = np.frombuffer(spelt.encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = np.cumsum(lengths) - lengths
     cuts = np.ones(len(codes) + 1, bool)
     here = kinds[codes]
     cuts[1:-1] = ~joined[here[:-1], here[1:]]
     cuts[begins] = True
     at = np.flatnonzero(cuts)
-    width = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
-    offsets = np.concatenate(([0], np.cumsum(width)))[at].astype(np.int64)
-    parts = pa.LargeStringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets), pa.py_buffer(spelt.encode("utf-8", "surrogatepass"))).dictionary_encode()
+    parts = parted(raw, codes, at)
     first = np.searchsorted(at, np.append(begins, len(codes)))
     numbers, ends = gathered(parts.indices.to_numpy().astype(np.int64), first[:-1], np.diff(first), words.indices.to_numpy().astype(np.int64))
     return parts.dictionary, numbers, np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])

@@ -8,9 +8,9 @@ row groups by their statistics and filters.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,34 +55,38 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.kinds = Tokenizer.from_file(path), {}, _kinds()
+        self.tokenizer, self.kinds = Tokenizer.from_file(path), _kinds()
+        #: What was learned: pieces, their ids end to end, and the number of ids of each.
+        self.known = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
         names = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self.word = re.compile(f"[{_LETTERS}]+")
 
     @staticmethod
     def of(path: str) -> Encoder:
         """The worker's own encoder: what one task has learned serves the next."""
         return _MADE.get(path) or _MADE.setdefault(path, Encoder(path))
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those of letters alone are one word each, so many are encoded in one
-        text and parted behind the ids that end a word."""
-        out: dict[str, bytes] = {}
-        words, rest = [], []
-        for p in pieces:
-            (words if self.word.fullmatch(p) else rest).append(p)
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [got.ids for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), np.int32), np.array([len(x) for x in ids], np.int64)
+
+    def _learn(self, pieces: pa.LargeStringArray) -> None:
+        """Learn the ids of pieces. Those of letters alone are one word each, so many are encoded in
+        one text and parted behind the ids that end a word."""
+        plain = pc.match_substring_regex(pieces, f"^[{_LETTERS}]+$")
+        words, rest = pieces.filter(plain), pieces.filter(pc.invert(plain))
+        flats, sizes = [self.known[1]], [self.known[2]]
         for at in range(0, len(words), 5000):
-            some = words[at : at + 5000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            raw = ids.tobytes()
-            out.update(zip(some, (raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)), strict=True))
+            ids, _ = self._whole([" ".join(words.slice(at, 5000).to_pylist())])
+            ends = np.flatnonzero(self.ends[ids])
+            flats.append(ids)
+            sizes.append(np.diff(ends, prepend=-1))
         for at in range(0, len(rest), 5000):
-            some = rest[at : at + 5000]
-            out.update((p, np.array(got.ids, "<u4").tobytes()) for p, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True))
-        return out
+            ids, n = self._whole(rest.slice(at, 5000).to_pylist())
+            flats.append(ids)
+            sizes.append(n)
+        self.known = pa.concat_arrays([self.known[0], words, rest]), np.concatenate(flats), np.concatenate(sizes)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with the end id; offsets of the texts)."""
@@ -90,24 +94,20 @@ class Encoder:
         # A-Z is lowered first, which makes fewer pieces
         plain = pc.replace_substring(pc.ascii_lower(pc.if_else(odd, None, texts).cast(pa.large_string())), "\n", " ")
         pieces, numbers, sizes = segments(plain, *self.kinds)
-        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
-        spelt = pieces.to_pylist()
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        known = self.memo
-        new = self._learn([p for p in spelt if p not in known])
-        blobs = [known[p] if p in known else new[p] for p in spelt]
-        known.update((p, b) for p, b in new.items() if len(p) <= 64)
-        blobs += [np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes() for i in whole]
-        # the texts that were encoded whole are one number each, and so is the end id
-        ends = np.cumsum(sizes)
-        numbers = np.insert(numbers, ends[whole], len(spelt) + np.arange(len(whole)))
+        self._learn(pieces.filter(pc.is_null(pc.index_in(pieces, self.known[0]))))
+        words, flat, lengths = self.known
+        spot = pc.index_in(pieces, words).to_numpy().astype(np.int64)
+        # the texts that are encoded whole are one number each, and so is the end id
+        whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        ids, n = self._whole([texts[i].as_py() for i in whole.tolist()])
+        numbers = np.insert(spot[numbers], np.cumsum(sizes)[whole], len(words) + np.arange(len(whole)))
         sizes[whole] += 1
-        numbers = np.insert(numbers, np.cumsum(sizes), len(blobs))
-        blobs.append(np.array([END_ID], "<u4").tobytes())
-        lengths = np.array([len(b) // 4 for b in blobs], np.int64)
-        ids, begins = gathered(np.frombuffer(b"".join(blobs), "<u4").astype(np.int32), np.cumsum(lengths) - lengths, lengths, numbers)
-        return ids, begins[np.concatenate(([0], np.cumsum(sizes + 1)))]
+        numbers = np.insert(numbers, np.cumsum(sizes), len(words) + len(whole))
+        flat, lengths = np.concatenate((flat, ids, np.array([END_ID], np.int32))), np.concatenate((lengths, n, [1]))
+        out, begins = gathered(flat, np.cumsum(lengths) - lengths, lengths, numbers)
+        if len(words) > MEMO or words.nbytes > 64 * MEMO:
+            self.known = pa.array([], pa.large_string()), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        return out, begins[np.concatenate(([0], np.cumsum(sizes + 1)))]
 
 
 def _encoded(path: str):
