@@ -4,12 +4,13 @@
 put every class into its nearest cells (two or more: the shards overlap); a cell over ``PART``
 members is cut into parts, and each pair of parts is a shard. 3. In each shard a graph is built
 with robust pruning; the adjacency lists of a vector from all its shards are united. 4. In each
-shard every member runs a greedy search from the shard's medoids and its own node, and expands
-over all nodes near the range. What is found is verified by its cosine in double precision.
+shard every member runs a greedy search from the shard's medoids, those of the graph's connected
+parts and its own node, and expands over all nodes near the range. What is found is verified by its cosine in double precision.
 
 A pair that meets in several shards is counted in the first of them, so no pair ever becomes a
 row: a shard returns link counts, and as edges no more than a spanning forest. Recall is audited
-against brute force on a fixed number of queries; if it is below ``RECALL`` the overlap is raised.
+against brute force on a fixed number of queries; if it is below ``RECALL`` the overlap is raised, and
+at last an error.
 """
 
 from __future__ import annotations
@@ -112,13 +113,13 @@ def _pruned(x: np.ndarray, near: np.ndarray, sims: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(x: np.ndarray) -> np.ndarray:
+def build(x: np.ndarray, candidates: int = CANDIDATES) -> np.ndarray:
     """Adjacency (-1 padded) of one shard: robust pruning of the nearest members, then of the
     lists with the reverse edges added."""
     n = len(x)
     if n < 2:
         return np.full((n, DEGREE), -1, np.int64)
-    c = min(CANDIDATES, n - 1)
+    c = min(candidates, n - 1)
     near, sims = np.zeros((n, c), np.int64), np.zeros((n, c))
     small = x.astype(np.float32)
     for at in range(0, n, 512):
@@ -138,8 +139,8 @@ def build(x: np.ndarray) -> np.ndarray:
     order = np.lexsort((-s, a))
     a, b, s = a[order], b[order], s[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)
-    kept = rank < CANDIDATES
-    near, sims = np.full((n, CANDIDATES), -1, np.int64), np.full((n, CANDIDATES), -2.0)
+    kept = rank < candidates
+    near, sims = np.full((n, candidates), -1, np.int64), np.full((n, candidates), -2.0)
     near[a[kept], rank[kept]], sims[a[kept], rank[kept]] = b[kept], s[kept]
     return _pruned(x, near, sims)
 
@@ -151,9 +152,38 @@ def medoids(x: np.ndarray, k: int = 16) -> np.ndarray:
     return np.unique((np.concatenate((mean, groups)) @ x.T).argmax(axis=1))
 
 
+def parts(adjacency: np.ndarray) -> np.ndarray:
+    """The least node of each node's connected part, edges taken both ways."""
+    n = len(adjacency)
+    a, at = np.nonzero(adjacency >= 0)
+    b = adjacency[a, at]
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def starts(x: np.ndarray, adjacency: np.ndarray) -> np.ndarray:
+    """The shard's medoids, and the medoid of each connected part: no part is out of reach."""
+    label = parts(adjacency)
+    _, part = np.unique(label, return_inverse=True)
+    means = np.zeros((part.max() + 1, x.shape[1]))
+    np.add.at(means, part, x)
+    near = np.einsum("ij,ij->i", x, means[part])
+    order = np.lexsort((-near, part))
+    firsts = order[np.concatenate(([True], part[order][1:] != part[order][:-1]))]
+    return np.unique(np.concatenate((medoids(x), firsts)))
+
+
 def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) index pairs with cosine >= ``cosine`` that greedy range search finds, itself left out."""
-    starts, found_q, found_n = medoids(x), [], []
+    begin, found_q, found_n = starts(x, adjacency), [], []
     for at in range(0, len(queries), 256):
         q = queries[at : at + 256]
         rows = np.arange(len(q))
@@ -169,7 +199,7 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, cosine: fl
             sims[r, nodes] = np.einsum("ij,ij->i", x[q[r]], x[nodes])
             return r, nodes
 
-        visit(np.repeat(rows, len(starts)), np.tile(starts, len(q)))
+        visit(np.repeat(rows, len(begin)), np.tile(begin, len(q)))
         visit(rows, q)
         expanded = np.zeros_like(seen)
         # greedy: the best BEAM nodes seen so far are expanded until they all have been
@@ -198,10 +228,13 @@ def search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, cosine: fl
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
-def _build_shard(pdf: pd.DataFrame) -> pd.DataFrame:
-    ids = pdf["vec_id"].to_numpy()
-    adjacency = build(_matrix(pdf["unit"]))
-    return pd.DataFrame({"vec_id": ids, "near": [ids[row[row >= 0]].tolist() for row in adjacency]})
+def _build_shard(candidates: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["vec_id"].to_numpy()
+        adjacency = build(_matrix(pdf["unit"]), candidates)
+        return pd.DataFrame({"vec_id": ids, "near": [ids[row[row >= 0]].tolist() for row in adjacency]})
+
+    return run
 
 
 def _search_shard(cosine: float):
@@ -270,7 +303,7 @@ def _exact(shared, cosine: float):
     return run
 
 
-def link(classes: DataFrame, scratch: Scratch, cosine: float, overlap: int) -> DataFrame:
+def link(classes: DataFrame, scratch: Scratch, cosine: float, overlap: int, candidates: int = CANDIDATES) -> DataFrame:
     """(vec_id, other, links) of classes (vec_id, unit, n): counts where other is vec_id, else edges."""
     spark = classes.sparkSession
     total = classes.count()
@@ -302,7 +335,7 @@ def link(classes: DataFrame, scratch: Scratch, cosine: float, overlap: int) -> D
     spots = placed.select("vec_id", F.explode("cells").alias("cell")).join(table, "cell").groupBy("vec_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(of_cell)))).alias("shards"))
     members = scratch.save(placed.drop("cells").join(spots, "vec_id"), "members")
     each = members.withColumn("shard", F.explode("shards"))
-    built = each.select("shard", "vec_id", "unit").groupBy("shard").applyInPandas(_build_shard, "vec_id bigint, near array<bigint>")
+    built = each.select("shard", "vec_id", "unit").groupBy("shard").applyInPandas(_build_shard(candidates), "vec_id bigint, near array<bigint>")
     united = built.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     ready = scratch.save(members.join(united, "vec_id", "left"), "graph").withColumn("shard", F.explode("shards"))
     return scratch.save(ready.groupBy("shard").applyInPandas(_search_shard(cosine), "vec_id bigint, other bigint, links bigint"), "links")
@@ -312,30 +345,42 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, a
     """(vec_id, n_links, component_id, kept, audit_recall) of every row of ``vectors``.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing,
-    and vectors of different lengths do not link. Rows with equal ids must not differ (a repeated
-    row counts as a copy). A null id is a row of its own that links with nothing. An empty table
-    gives no rows; other columns are not read.
+    and vectors of different lengths do not link. Rows are told apart by their vectors, not their
+    ids: a repeated row counts as a copy, and rows of one id with different vectors each have their
+    own links. A null id is a row of its own that links with nothing. An empty table gives no
+    rows; other columns are not read.
+
+    Recall is measured against brute force for ``audit`` vectors chosen by hash and as many of those
+    that have links; ``audit_recall`` is null if none of them has a link. Below ``RECALL`` the shards
+    overlap more and the lists grow; if that does not help, an error is raised.
     """
     units = scratch.save(unit_vectors(vectors), "units")
-    classes = scratch.save(units.where("unit IS NOT NULL AND vec_id IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")).select("vec_id", "unit", "n"), "classes")
-    overlap, recall = OVERLAP, 1.0
-    queries = classes.orderBy(F.xxhash64("vec_id", F.lit(5))).limit(audit).select("vec_id", "unit").collect()
+    named = units.where("unit IS NOT NULL AND vec_id IS NOT NULL").groupBy("unit").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
+    # a class is named by a number of its own: ids may repeat
+    known = scratch.save(named.select(F.monotonically_increasing_id().alias("vec_id"), "unit", "n", "first_id"), "classes")
+    classes = known.select("vec_id", "unit", "n")
+    pick = lambda df, salt: df.orderBy(F.xxhash64("vec_id", F.lit(salt))).limit(audit).select("vec_id", "unit").collect()
+    overlap, candidates = OVERLAP, CANDIDATES
     while True:
-        found = link(classes, scratch, cosine, overlap)
-        counts = found.where("vec_id = other").groupBy("vec_id").agg(F.sum("links").alias("links"))
-        if not queries:
-            break
-        ids = np.array([r["vec_id"] for r in queries], np.int64)
-        shared = classes.sparkSession.sparkContext.broadcast((ids, [np.frombuffer(bytes(r["unit"]), np.float64) for r in queries]))
-        exact = classes.select("unit", "n").mapInArrow(_exact(shared, cosine), "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("exact"))
-        got = exact.join(classes, "vec_id").join(counts, "vec_id", "left").agg(F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.sum(F.col("exact") - F.col("n")).alias("exact")).first()
-        recall = got["links"] / got["exact"] if got["exact"] else 1.0
-        if recall >= RECALL or overlap >= 16:
+        found = link(classes, scratch, cosine, overlap, candidates)
+        counts = scratch.save(found.where("vec_id = other").groupBy("vec_id").agg(F.sum("links").alias("links")), "sums")
+        queries = {r["vec_id"]: r["unit"] for r in [*pick(classes, 5), *pick(classes.join(counts.where("links > 0"), "vec_id", "left_semi"), 6)]}
+        recall = None
+        if queries:
+            ids = np.array(list(queries), np.int64)
+            shared = classes.sparkSession.sparkContext.broadcast((ids, [np.frombuffer(bytes(u), np.float64) for u in queries.values()]))
+            exact = classes.select("unit", "n").mapInArrow(_exact(shared, cosine), "vec_id bigint, n bigint").groupBy("vec_id").agg(F.sum("n").alias("exact"))
+            got = exact.join(classes, "vec_id").join(counts, "vec_id", "left").agg(F.sum(F.coalesce("links", F.lit(0))).alias("links"), F.sum(F.col("exact") - F.col("n")).alias("exact")).first()
+            recall = got["links"] / got["exact"] if got["exact"] else None
+        if recall is None or recall >= RECALL:
             break
-        overlap *= 2
+        if overlap >= 16:
+            raise RuntimeError(f"recall {recall:.3f} stays under {RECALL}")
+        overlap, candidates = 2 * overlap, 2 * candidates
     roots = connected_components(found.where("vec_id != other").select(F.col("vec_id").alias("a"), F.col("other").alias("b")), scratch)
-    named = classes.join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    named = named.select(F.col("unit").alias("_unit"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("root", "vec_id").alias("root"))
-    out = units.join(named, (units["unit"] == named["_unit"]) & units["vec_id"].isNotNull(), "left")
-    component = F.coalesce("root", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(float(recall)).alias("audit_recall"))
+    placed = known.join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left").withColumn("root", F.coalesce("root", "vec_id"))
+    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    placed = placed.join(least, "root").select(F.col("unit").alias("_unit"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
+    out = units.join(placed, (units["unit"] == placed["_unit"]) & units["vec_id"].isNotNull(), "left")
+    component = F.coalesce("component_id", "vec_id")
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).cast("double").alias("audit_recall"))
