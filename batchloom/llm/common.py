@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -50,7 +51,7 @@ class Scratch:
             if not conf.get("spark.master", "").startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="batchloom-")
-        self.spark = spark
+        self.spark, self.tables = spark, []
         self.root = f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
@@ -63,8 +64,22 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_by(self, df: DataFrame, key: str, parts: int, label: str = "t") -> DataFrame:
+        """As ``save``, dealt into ``parts`` buckets by ``key``: what groups by it later doesn't move the rows again."""
+        name = f"batchloom_{label}_{uuid.uuid4().hex}"
+        df.write.bucketBy(parts, key).option("path", self.path(label)).format("parquet").saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def let_go(self) -> None:
+        """Have the shuffle files of finished jobs removed: Spark does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def clear(self) -> None:
         with contextlib.suppress(Exception):  # the session may be gone already
+            for name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             jvm = self.spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(self.root)
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

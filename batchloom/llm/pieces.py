@@ -39,6 +39,8 @@ MARK = "▁"
 HOT_SEGMENTS = 200_000
 #: Bytes of a chunk's texts (a longer text is a chunk alone), and distinct segments of a lattice task.
 CHUNK_BYTES, LATTICE_SEGMENTS = 4_000_000, 40_000
+#: Buckets of chunks at most (Spark's own bound).
+BUCKETS = 100_000
 #: Longer segments (runs of one letter, of spaces) are folded where they stand, by the same rule: the
 #: lattice keeps the boundaries of a segment in the bits of one number.
 LONG = 61
@@ -347,16 +349,21 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.select(*[(F.col(c).cast("string") if c == "text" else F.col(c)).alias(n) for c, n in zip(docs.columns, names, strict=True)])
     shared = spark.sparkContext.broadcast(model)
-    # written once: a chunk that is read again, after a lost executor too, holds the same rows
+    # written once: a chunk that is read again, after a lost executor too, holds the same rows;
+    # in buckets by chunk, so that the answers come to the chunks and these stay where they are
+    rows = plain.mapInArrow(_packed(text_at, shared), "chunk bigint, words array<string>, rest binary, n_planes bigint, planes binary")
+    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), plain.rdd.getNumPartitions()), BUCKETS)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
-        packed = scratch.save(plain.mapInArrow(_packed(text_at, shared), "chunk bigint, words array<string>, rest binary, n_planes bigint, planes binary"), "packed")
+        packed = scratch.save_by(rows, "chunk", buckets, "packed")
     wanted = packed.select("chunk", F.explode("words").alias("word")).where(F.char_length("word") <= LONG)
     counted = scratch.save(wanted.groupBy("word").agg(F.count("*").alias("n")), "counts")
+    scratch.let_go()
     total = counted.count()
     tasks = max(-(-total // LATTICE_SEGMENTS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // 2000)), 1)
     # a task's segments are bounded, so their edges are grouped in memory, without a sort
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * LATTICE_SEGMENTS)):
         known = scratch.save(lattice(counted.repartition(tasks, "word"), model), "known")
+    scratch.let_go()
     # the least count that lets at most HOT_SEGMENTS through, by classes of an eighth of a doubling
     level = F.floor(F.log2("n") * 8).cast("int")
     least, held = 1 << 30, 0
