@@ -69,8 +69,10 @@ _CARD = "(?<![0-9])(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{13,19})
 _PART = "(?:\\p{Lu}[\\p{L}'-]+|\\p{IsHan}{2,4})"
 _TITLED = "(?:" + "|".join(t for ts in TITLES.values() for t in ts) + f")\\.?[ ]{_PART}(?:[ ]\\p{{Lu}}[\\p{{L}}'-]+)?"
 _KNOWN = "(?:" + "|".join(sorted({x for xs in FIRST_NAMES.values() for x in xs})) + ")[ ]\\p{Lu}\\p{Ll}[\\p{L}'-]+"
-_NAME = f"(?<![\\p{{L}}])(?=\\p{{Lu}})(?:{_TITLED}|{_KNOWN})"
-PATTERN = "|".join((_EMAIL, _IP, _SIX, _SSN, _PHONE, _IBAN, _CARD, _NAME))
+_NAME = f"(?<![\\p{{L}}])(?:{_TITLED}|{_KNOWN})"
+#: By the first character, so that most places of a text are passed over by one look.
+_CAPITALS = "A-Z\\u0386-\\u03AB\\u0410-\\u042F"
+PATTERN = f"(?=[0-9+(Ff])(?:{_IP}|{_SIX}|{_SSN}|{_PHONE}|{_CARD})|(?=[A-Z]{{2}}[0-9]){_IBAN}|(?=[{_CAPITALS}]\\p{{L}}{{0,15}}\\.?[ ][\\p{{Lu}}\\p{{IsHan}}]){_NAME}|{_EMAIL}"
 #: Issuers' prefixes and lengths.
 _ISSUER = "^(?:4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|35[0-9]{14}|6(?:011|5[0-9]{2})[0-9]{12})$"
 #: First octets that hold private or special networks: there the second octet stays as well.
