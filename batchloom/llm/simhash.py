@@ -4,8 +4,9 @@ Fingerprints of 64 bits are cut into six blocks. Two that differ in at most four
 at least two blocks, so every close pair meets under one of the fifteen pairs of blocks (21 bits
 or so each). Only distinct fingerprints are compared; equal ones are one node already. Inside a
 block group a sweep links each fingerprint to the first that reaches it, which leaves at most
-one edge a member and never a list of all pairs; groups over ``GROUP`` members are split into
-cells that cover each pair of parts, so none has to fit into one task.
+one edge a member and never a list of all pairs. Groups over ``GROUP`` members are cut by the bits
+they do not share; what is large even then is split into cells that cover each pair of parts, so
+none has to fit into one task.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from batchloom.llm.components import connected_components
 SHINGLE, SEED, BITS, GROUP = 4, 42, 4, 1024
 #: (first bit, width) of the blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: The blocks of the bits that a pair of blocks leaves (44 at most).
+FURTHER = ((0, 6), (6, 6), (12, 6), (18, 6), (24, 5), (29, 5), (34, 5), (39, 5))
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -122,20 +125,42 @@ def links(prints: DataFrame, scratch: Scratch, bits: int = BITS, group: int = GR
     """
     if not 0 <= bits <= 4:
         raise ValueError("six blocks find up to four differing bits")
-    block = lambda at, width: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
-    keys = [F.struct(F.lit(i).cast("bigint").alias("k"), F.shiftleft(block(*x), y[1]).bitwiseOR(block(*y)).alias("v")) for i, (x, y) in enumerate(combinations(BLOCKS, 2))]
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key")).select("key.k", "key.v", "fp")
-    large = scratch.save(rows.groupBy("k", "v").count().where(F.col("count") > group).select("k", "v", F.ceil(F.col("count") / group).alias("parts")), "large")
+    pairs = list(combinations(BLOCKS, 2))
+    block = lambda x, at, width: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))
+    both = lambda x, one, two: F.shiftleft(block(x, *one), two[1]).bitwiseOR(block(x, *two))
+    key = lambda i, v: F.struct(F.lit(i).cast("bigint").alias("k"), v.alias("v"))
+    rows = prints.select("fp", F.explode(F.array(*[key(i, both("fp", *p)) for i, p in enumerate(pairs)])).alias("key")).select("key.k", "key.v", "fp")
+    large = _large(rows, scratch, group)
+    if not large.isEmpty():
+        # the bits that a large group does not share are cut again: of eight blocks at least four agree, and so some two do
+        rest = F.lit(0).cast("bigint")
+        for i, p in enumerate(pairs):
+            left = F.lit(0).cast("bigint")
+            for at, width in (x for x in BLOCKS if x not in p):
+                left = F.shiftleft(left, width).bitwiseOR(block("fp", at, width))
+            rest = F.when(F.col("k") == i, left).otherwise(rest)
+        further = list(combinations(FURTHER, 2))
+        deep = rows.join(large.select("k", "v"), ["k", "v"], "left_semi").withColumn("rest", rest)
+        deep = deep.select("k", "v", "fp", F.explode(F.array(*[key(i, both("rest", *p)) for i, p in enumerate(further)])).alias("key"))
+        deep = deep.select((F.col("k") * 100 + F.col("key.k") + 1).alias("k"), F.shiftleft("v", 12).bitwiseOR(F.col("key.v")).alias("v"), "fp")
+        shallow = rows.join(large.select("k", "v"), ["k", "v"], "left_anti")
+        rows = shallow.select((F.col("k") * 100).alias("k"), F.shiftleft("v", 12).alias("v"), "fp").unionByName(deep)
+        large = _large(rows, scratch, group)
     if large.isEmpty():
         rows = rows.withColumn("cell", F.lit(0).cast("bigint"))
     else:
-        # every pair of parts of a large group is a cell; each member goes to the cells of its part
+        # what is still large is near-equal throughout: every pair of parts is a cell; each member goes to the cells of its part
         part = F.pmod(F.xxhash64("fp"), F.col("parts"))
         cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
         rows = rows.join(large, ["k", "v"], "left").withColumn("cell", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(F.array_distinct(cells)))).select("k", "v", "fp", "cell")
     return rows.repartition("k", "v", "cell").sortWithinPartitions("k", "v", "cell").select("k", "v", "cell", "fp").mapInArrow(_swept(bits), "a bigint, b bigint")
 
 
+def _large(rows: DataFrame, scratch: Scratch, group: int) -> DataFrame:
+    """(k, v, parts) of the groups over ``group`` members."""
+    return scratch.save(rows.groupBy("k", "v").count().where(F.col("count") > group).select("k", "v", F.ceil(F.col("count") / group).alias("parts")), "large")
+
+
 def grouped(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (fp, root, component_id) of every distinct fingerprint."""
     prints = scratch.save(fingerprints(docs, width), "prints")
