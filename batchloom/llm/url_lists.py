@@ -70,5 +70,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame, key: str = "page_id
         cut, on = cut.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"]
     hits = tries.join(cut, on).where((F.col("valid_from") <= F.col("fetched")) & (F.col("fetched") < F.col("valid_to")))
     best = hits.groupBy(F.col("host").alias("_host"), F.col("fetched").alias("_fetched")).agg(F.min(F.struct("depth", "listed_host", "valid_from")).alias("hit"))
-    found = rows.join(best, (rows["host"] == best["_host"]) & (rows["fetched"] == best["_fetched"]), "left")
+    # captures without a host or time find nothing: they stay out of the join, where they would meet in one task
+    whole = F.col("host").isNotNull() & F.col("fetched").isNotNull()
+    found = rows.where(whole).join(best, (F.col("host") == F.col("_host")) & (F.col("fetched") == F.col("_fetched")), "left")
+    found = found.unionByName(rows.where(~whole), allowMissingColumns=True)
     return found.select(key, "host", "fetched", F.col("hit.listed_host").alias("listed_host"), F.col("hit.valid_from").alias("listed_from"), F.col("hit").isNotNull().alias("blocked"))
