@@ -25,6 +25,20 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def numbered(df: DataFrame, *text: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns c0, c1, ..., which meet no name that an operator uses inside, and their names by the old ones.
+
+    The columns ``text`` are made strings.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[(F.col(f"`{c}`").cast("string") if c in text else F.col(f"`{c}`")).alias(n) for c, n in names.items()]), names
+
+
+def given_back(names: dict[str, str], own: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``numbered`` under their old names; one that is called like a result of the operator (``own``) becomes input_<name>."""
+    return [F.col(n).alias(f"input_{c}" if c in own else c) for c, n in names.items()]
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: str):
     """A setting of the session for what runs inside."""

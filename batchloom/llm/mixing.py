@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.common import given_back, numbered
+
 SEED = 17
 #: Sources whose table of rates is broadcast; more are joined by salted keys.
 BROADCAST_SOURCES, SALTS = 10_000, 64
@@ -62,25 +64,27 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, s
     """``docs`` repeated by Poisson counts, with copy (1, 2, ...) and mix_key, in the order of mix_key.
 
     Rows with one doc_id and source get one count; a null doc_id counts as one id. Null texts have
-    no characters. An empty table gives no rows. Input columns named copy or mix_key give way.
+    no characters. An empty table gives no rows. Input columns named copy or mix_key become
+    input_copy and input_mix_key; other columns pass through, whatever their names.
     """
     table = rates(docs, weights, total).withColumn("_pieces", F.greatest(F.ceil(F.col("rate") / PIECE), F.lit(1)).cast("int"))
     table = table.select(F.col("source").alias("_source"), "_pieces", _cdf(F.col("rate") / F.col("_pieces")).alias("_cdf"))
-    columns = [c for c in docs.columns if c not in ("copy", "mix_key")]
-    rows = docs.select(*columns)
+    rows, names = numbered(docs)
+    doc_id, source = F.col(names["doc_id"]), F.col(names["source"])
     if docs.select("source").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        joined = rows.join(F.broadcast(table), rows["source"].eqNullSafe(table["_source"]))
+        joined = rows.join(F.broadcast(table), source.eqNullSafe(F.col("_source")))
     else:
         salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        rows = rows.withColumn("_at", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(SALTS)).cast("int"))
-        joined = rows.join(salted, rows["source"].eqNullSafe(salted["_source"]) & (rows["_at"] == salted["_salt"]))
+        rows = rows.withColumn("_at", F.pmod(F.xxhash64(doc_id, F.lit(seed)), F.lit(SALTS)).cast("int"))
+        joined = rows.join(salted, source.eqNullSafe(F.col("_source")) & (F.col("_at") == F.col("_salt")))
     draw = lambda j: F.size(F.filter("_cdf", lambda c: c <= F.col("_u")))
-    first = joined.withColumn("_u", unit(F.lit(seed), F.lit(1), F.col("doc_id"))).withColumn("_n", draw(1))
-    more = F.aggregate(F.sequence(F.lit(2), F.col("_pieces")), F.lit(0), lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= unit(F.lit(seed), j, F.col("doc_id")))))
+    first = joined.withColumn("_u", unit(F.lit(seed), F.lit(1), doc_id)).withColumn("_n", draw(1))
+    more = F.aggregate(F.sequence(F.lit(2), F.col("_pieces")), F.lit(0), lambda n, j: n + F.size(F.filter("_cdf", lambda c: c <= unit(F.lit(seed), j, doc_id))))
     counted = first.withColumn("_n", F.col("_n") + F.when(F.col("_pieces") > 1, more).otherwise(0)).where("_n > 0")
-    copies = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n").cast("bigint"))).alias("copy"))
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    return copies.withColumn("mix_key", key).orderBy("mix_key", "doc_id", "copy")
+    copies = counted.select(*names.values(), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n").cast("bigint"))).alias("_copy"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("shuffle"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col("_copy").cast("string")))
+    mixed = copies.withColumn("_key", key).orderBy("_key", doc_id, "_copy")
+    return mixed.select(*given_back(names, ("copy", "mix_key")), F.col("_copy").alias("copy"), F.col("_key").alias("mix_key"))
 
 
 #: DuckDB's form of ``replicate`` over documents with equal weights and means up to PIECE.

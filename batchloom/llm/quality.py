@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from batchloom.llm.common import Scratch
+from batchloom.llm.common import Scratch, given_back, numbered
+from batchloom.llm.segments import chunks
 
 ORDER = 4
 #: Quantiles of the held-out trusted documents' deviation; kept is what lies within them and ``SLACK`` times their distance beyond.
@@ -35,6 +36,8 @@ LEAST_SPREAD = 1.5
 SHARD_ROWS = 3_000_000
 #: Trusted ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Bytes of texts that are scored at once.
+CHUNK_BYTES = 32_000_000
 _SLICE = 1 << 21
 
 
@@ -228,62 +231,70 @@ def _shard(kind: Column, gram: Column, shards: int) -> Column:
     return F.when(F.abs(kind) <= 2, -1).otherwise(F.pmod(two, F.lit(shards)))
 
 
+def _scores(scorer: Scorer, langs: list[str | None], texts: pa.Array) -> np.ndarray:
+    """Minus the log probability of each text under one shard; texts of a language are looked up together."""
+    sums = np.zeros(len(langs))
+    waiting: dict[str | None, list[tuple[int, np.ndarray]]] = {}
+
+    def flush(lang):
+        rows = waiting.pop(lang)
+        if len(rows) == 1 or scorer.shards > 1 or lang not in scorer.tables:
+            for i, chars in rows:
+                sums[i] += scorer(lang, chars)
+            return
+        logs = scorer.logs(lang, np.concatenate([packed(chars) for _, chars in rows]))
+        ends = np.cumsum([len(chars) for _, chars in rows])
+        for (i, _), total in zip(rows, np.diff(np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], ends))]), strict=True):
+            sums[i] -= total
+
+    for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+        chars = codes(text.as_py() or "")
+        if not len(chars):
+            continue
+        waiting.setdefault(lang, []).append((i, chars))
+        if sum(len(c) for _, c in waiting[lang]) >= _SLICE // 4:
+            flush(lang)
+    for lang in list(waiting):
+        flush(lang)
+    return sums
+
+
 def _score_with(shared, lang_at: int, text_at: int):
-    made = []
+    kept = []  # a model of one shard is made once a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(Scorer(*shared.value))
-        for batch in batches:
-            sums = np.zeros(batch.num_rows)
-            waiting: dict[str | None, list[tuple[int, np.ndarray]]] = {}
-
-            def flush(lang):
-                rows = waiting.pop(lang)
-                if len(rows) == 1 or made[0].shards > 1 or lang not in made[0].tables:
-                    for i, chars in rows:
-                        sums[i] += made[0](lang, chars)
-                    return
-                keys = np.concatenate([packed(chars) for _, chars in rows])
-                logs = made[0].logs(lang, keys)
-                ends = np.cumsum([len(chars) for _, chars in rows])
-                for (i, _), total in zip(rows, np.diff(np.concatenate(([0.0], np.cumsum(logs)))[np.concatenate(([0], ends))]), strict=True):
-                    sums[i] -= total
-
-            for i, (lang, text) in enumerate(zip(batch.column(lang_at).to_pylist(), batch.column(text_at), strict=True)):
-                chars = codes(text.as_py() or "")
-                if not len(chars):
-                    continue
-                waiting.setdefault(lang, []).append((i, chars))
-                if sum(len(c) for _, c in waiting[lang]) >= _SLICE // 4:
-                    flush(lang)
-            for lang in list(waiting):
-                flush(lang)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums + batch.column(batch.num_columns - 1).to_numpy())], batch.schema.names)
+        for table in chunks(batches, text_at, CHUNK_BYTES):
+            langs, texts = table.column(lang_at).to_pylist(), table.column(text_at).combine_chunks()
+            sums = np.zeros(table.num_rows)
+            for piece in shared:
+                if len(shared) > 1 or not kept:
+                    kept[:] = [Scorer(*piece.value)]
+                sums += _scores(kept[0], langs, texts)
+            yield from table.append_column("_loss", pa.array(sums)).combine_chunks().to_batches()
 
     return run
 
 
-def with_log_loss(docs: DataFrame, fitted: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``docs`` (columns c0... with lang and text among them by name) and ``_loss``, minus the log probability of the text."""
-    spark = docs.sparkSession
+def with_log_loss(docs: DataFrame, fitted: DataFrame, scratch: Scratch, shard_rows: int = SHARD_ROWS, lang: str = "lang", text: str = "text") -> DataFrame:
+    """``docs`` and ``_loss``, minus the log probability of the text in the column ``text`` under its language's model.
+
+    A model over ``shard_rows`` is broadcast in shards; a task holds one of them at a time and
+    scores its rows by all, so texts are read once however many shards there are.
+    """
+    spark, shared = docs.sparkSession, []
     shards = max(1, -(-fitted.count() // shard_rows))
-    out = docs.withColumn("_loss", F.lit(0.0))
-    schema = T.StructType([*docs.schema.fields, T.StructField("_loss", T.DoubleType())])
     for shard in range(shards):
         mine = fitted if shards == 1 else fitted.where(_shard(F.col("kind"), F.col("gram"), shards).isin(-1, shard))
         rows: dict = {}
         got = mine.toArrow()
         langs, kinds = got["lang"].to_pandas().astype(object).where(lambda s: s.notna(), None), got["kind"].to_numpy()
         grams, values = got["gram"].to_numpy().view(np.uint64), got["value"].to_numpy().astype(np.float32)
-        for lang in set(langs.tolist()):
-            at = (langs.isna() if lang is None else langs == lang).to_numpy()
-            rows[lang] = {int(k): (grams[at & (kinds == k)], values[at & (kinds == k)]) for k in set(kinds[at].tolist())}
-        shared = spark.sparkContext.broadcast((rows, shard, shards))
-        out = out.mapInArrow(_score_with(shared, docs.columns.index("lang"), docs.columns.index("text")), schema)
-        if shards > 1:
-            out = scratch.save(out, "scored")
-    return out
+        for name in set(langs.tolist()):
+            at = (langs.isna() if name is None else langs == name).to_numpy()
+            rows[name] = {int(k): (grams[at & (kinds == k)], values[at & (kinds == k)]) for k in set(kinds[at].tolist())}
+        shared.append(spark.sparkContext.broadcast((rows, shard, shards)))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_loss", T.DoubleType())])
+    return docs.mapInArrow(_score_with(shared, docs.columns.index(lang), docs.columns.index(text)), schema)
 
 
 def _width(n: Column) -> Column:
@@ -308,28 +319,30 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, shard_rows: i
 
     Trusted are the documents whose id has quality 1 in ``labels`` (doc_id, quality). A text
     without characters (or null) has no perplexity and is not kept. A language (a null one is one
-    of its own) without held-out trusted text has no bounds and its other documents are kept.
-    Rows with equal ids stay separate rows and an empty table gives none; other columns pass through.
+    of its own) without held-out trusted text has no bounds: nothing is known of it, and its other
+    documents are kept. Rows with equal ids stay separate rows and an empty table gives none; other
+    columns pass through, whatever their names (those named like a result as input_<name>).
     """
-    plain = docs.select(*[F.col(c) for c in docs.columns])
-    ids = labels.where(F.col("quality") == 1).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    plain, names = numbered(docs, "lang", "text")
+    doc_id, text = (F.col(names[c]) for c in ("doc_id", "text"))
+    ids = labels.where(F.col("quality") == 1).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
     few = ids.count() <= BROADCAST_IDS
-    trusted = plain.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    held_out = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint"), F.lit(9)), F.lit(5)) == 0
+    known_id = F.broadcast(ids) if few else ids
+    trusted = plain.join(known_id, doc_id.cast("bigint") == F.col("_id"), "left_semi").select(doc_id.cast("bigint").alias("doc_id"), F.col(names["lang"]).alias("lang"), text.alias("text"))
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(9)), F.lit(5)) == 0
+    held_out = part(F.col("doc_id"))
     fitted = model(trusted.where(~held_out), scratch)
-    n = F.char_length("text")
-    loss = with_log_loss(trusted, fitted, scratch, shard_rows).where(n > 0)
-    shown = scratch.save(loss.select("lang", (~held_out).alias("fit"), n.alias("n"), (F.col("_loss") / n).alias("bits")), "shown")
+    shown_n = F.char_length("text")
+    loss = with_log_loss(trusted, fitted, scratch, shard_rows).where(shown_n > 0)
+    shown = scratch.save(loss.select("lang", (~held_out).alias("fit"), shown_n.alias("n"), (F.col("_loss") / shown_n).alias("bits")), "shown")
     cuts = scratch.save(bounds(shown), "cuts")  # two rows a language
-    scored = with_log_loss(plain, fitted, scratch, shard_rows)
-    known_id = ids.select(F.col("doc_id").alias("_id"))
-    if few:
-        known_id = F.broadcast(known_id)
-    scored = scored.join(known_id, scored["doc_id"].cast("bigint") == F.col("_id"), "left").withColumn("_in", F.col("_id").isNotNull() & F.coalesce(F.pmod(F.xxhash64("_id", F.lit(9)), F.lit(5)) != 0, F.lit(False)))
-    scored = scored.join(F.broadcast(cuts), scored["lang"].eqNullSafe(F.col("_lang")) & (F.col("_in") == F.col("_fit")), "left")
-    known = F.col("_middle").isNotNull() & (F.coalesce(n, F.lit(0)) > 0)
-    ppl = F.when(known, F.exp(F.col("_loss") / n))
-    width = _width(F.coalesce(n, F.lit(0)))
+    scored = with_log_loss(plain, fitted, scratch, shard_rows, names["lang"], names["text"])
+    scored = scored.join(known_id, doc_id.cast("bigint") == F.col("_id"), "left").withColumn("_in", F.col("_id").isNotNull() & F.coalesce(~part(F.col("_id")), F.lit(False)))
+    scored = scored.join(F.broadcast(cuts), F.col(names["lang"]).eqNullSafe(F.col("_lang")) & (F.col("_in") == F.col("_fit")), "left")
+    n = F.coalesce(F.char_length(text), F.lit(0))
+    ppl = F.when(F.col("_middle").isNotNull() & (n > 0), F.exp(F.col("_loss") / n))
+    width = _width(n)
     low, high = F.exp(F.col("_middle") + F.col("_below") * width), F.exp(F.col("_middle") + F.col("_above") * width)
-    keep = F.when(F.coalesce(n, F.lit(0)) == 0, False).otherwise(F.coalesce((ppl >= low) & (ppl <= high), F.lit(True)))
-    return scored.select(*docs.columns, ppl.alias("_perplexity"), low.alias("_low"), high.alias("_high"), keep.alias("_keep"))
+    keep = F.when(n == 0, False).otherwise(F.coalesce((ppl >= low) & (ppl <= high), F.lit(True)))
+    own = ("_perplexity", "_low", "_high", "_keep")
+    return scored.select(*given_back(names, own), *[c.alias(o) for c, o in zip((ppl, low, high, keep), own, strict=True)])
