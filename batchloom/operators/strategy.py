@@ -6,17 +6,18 @@ where a row is drawn twice). All work on narrow columns; payload is joined after
 
 from __future__ import annotations
 
+import math
 import warnings
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from batchloom.functions.rng import hash_hex, hash_u60, hash_unit
-from batchloom.plans.ordinal import rank_by_hash, running_sum, with_ordinal
+from batchloom.plans.ordinal import place, rank_by_hash, running_sum, with_ordinal
 
-#: Mass of the whole collection in integer units, far below 60 bits so that u % mass is fair.
-SCALE = 1 << 40
+#: Mass of a class in integer units; bits of all rows' masses together, far below 60 so that u % mass is fair.
+SCALE, MASS_BITS = 1 << 40, 50
 #: Distinct weights or classes that are looked up in a literal table; more go through a join.
 LITERAL_GROUPS = 256
 
@@ -78,7 +79,7 @@ def block_order(rows: DataFrame, n: int, block_size: int, seed: int, epoch: int)
     last, rest = divmod(n, block_size)
     # the blocks follow from n: no shuffle of the rows is needed to list them
     blocks = rows.sparkSession.range(last + bool(rest)).select(F.col("id").alias("_blk"))
-    placed = rank_by_hash(blocks, hash_hex(seed, epoch, "b", "_blk"), "_blk", "_at")
+    placed = rank_by_hash(blocks, hash_hex(seed, epoch, "b", "_blk"), "_blk", "_at", last + 1)
     if rest:
         short = placed.where(F.col("_blk") == last).select(F.col("_at").alias("_short"))
         placed = placed.crossJoin(F.broadcast(short))  # one row
@@ -110,11 +111,14 @@ class BlockShuffle(Strategy):
 
     def plan(self, base, seed=0, epoch=0):
         rows, n = self.ranked(base), Strategy.length(self, base)
-        if self.drop_last and n % self.block_size:
-            order = rank_by_hash(rows, hash_hex(seed, epoch, "d", "_s"), "_s", "_out")
-            rows = with_ordinal(order.where(F.col("_out") >= n % self.block_size).select("_idx", "_s"), "_s", name="_kept").select("_idx", F.col("_kept").alias("_s"))
-            n -= n % self.block_size
-        return block_order(rows, n, self.block_size, seed, epoch)
+        left_out = n % self.block_size if self.drop_last else 0
+        if left_out:
+            # the rows of least hash: fewer than a block, so they are listed and the ranks close up over them
+            gone = rows.select("_s").orderBy(hash_hex(seed, epoch, "d", "_s"), "_s").limit(left_out)
+            ranks = sorted(r["_s"] for r in gone.collect())
+            kept = rows.join(F.broadcast(gone), "_s", "left_anti")
+            rows = kept.select("_idx", (F.col("_s") - place(F.col("_s"), ranks, lambda x: F.lit(x).cast("bigint"))).cast("bigint").alias("_s"))
+        return block_order(rows, n - left_out, self.block_size, seed, epoch)
 
 
 class Weighted(Strategy):
@@ -155,43 +159,83 @@ class Weighted(Strategy):
         else:
             w = F.lit(1.0) if self.weights is None else F.col(self.weights) if isinstance(self.weights, str) else self.weights
             out = self.selected(base.withColumn("_w", w.cast("double"))).select("_idx", "_w")
-        stats = out.agg(F.min("_w").alias("least"), F.sum("_w").alias("total")).first()
+        odd = F.col("_w").isNull() | F.isnan("_w") | F.col("_w").isin(float("inf"), float("-inf"))
+        stats = out.agg(F.min("_w").alias("least"), F.max("_w").alias("most"), F.count("*").alias("n"), F.sum(odd.cast("int")).alias("odd")).first()
+        if stats["odd"]:
+            raise ValueError("weights must be finite numbers")
         if stats["least"] is not None and stats["least"] < 0:
             raise ValueError("weights must not be negative")
-        if not stats["total"]:
+        if not stats["most"]:
             raise ValueError("weights must not sum to zero")
-        self._total = stats["total"]
+        self._most, self._rows = stats["most"], stats["n"]
         return out
 
+    def masses(self, base: DataFrame) -> DataFrame:
+        """(_idx, _m bigint > 0): the weights as whole numbers in proportion to the greatest.
+
+        Nothing is summed before it is whole, so the same masses come out whatever the
+        partitioning. Their resolution falls with the number of rows, to 12 bits at least.
+        """
+        rows = self.weighted(base)
+        unit = float(1 << max(12, min(40, MASS_BITS - self._rows.bit_length())))
+        return rows.where("_w > 0").select("_idx", F.greatest(F.floor(F.col("_w") / F.lit(self._most) * unit), F.lit(1)).cast("bigint").alias("_m"))
+
     def draws(self, base: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
         """(_idx, _draw) of ``total`` draws with replacement by an integer CDF.
 
-        A draw finds its row by an equi-join on the bucket of its number, behind which only the
-        few intervals of the bucket are compared: no nested-loop join, and a row of great mass is
-        a row a bucket it spans.
+        The CDF is cut into ranges at every so many rows and at every so much mass: none has more
+        than its share of rows or of draws, whatever the weights. Inside a range a window carries
+        the row a draw falls on to it. A row that spans several ranges stands in each.
         """
-        rows = self.weighted(base).select("_idx", F.greatest(F.floor(F.col("_w") / self._total * SCALE), F.when(F.col("_w") > 0, 1).otherwise(0)).cast("bigint").alias("_m")).where("_m > 0")
-        rows = with_ordinal(rows, "_idx", name="_s")
-        cdf = running_sum(rows, "_s", "_m", "_lo")
+        rows = with_ordinal(self.masses(base), "_idx", name="_s")
+        cdf = running_sum(rows, "_s", "_m", "_lo", self._rows)
         size = cdf.agg(F.sum("_m").alias("mass"), F.count("*").alias("n")).first()
-        width = max(1, size["mass"] // max(1, size["n"]))
-        spans = cdf.select("_idx", "_lo", "_m", F.explode(F.sequence(F.floor(F.col("_lo") / F.lit(width)), F.floor((F.col("_lo") + F.col("_m") - 1) / F.lit(width)))).alias("_bk"))
-        thrown = base.sparkSession.range(total).select(F.col("id").alias("_draw"), (hash_u60(seed, epoch, "w", "id") % size["mass"]).alias("_u")).withColumn("_bk", F.floor(F.col("_u") / F.lit(width)))
-        return thrown.join(spans, "_bk").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_lo") + F.col("_m"))).select("_idx", "_draw")
+        parts = max(2, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        every = max(1, -(-size["n"] // parts))
+        at_rows = [r["_lo"] for r in cdf.where(F.col("_s") % every == 0).select("_lo").collect()]  # ``parts`` at most
+        cuts = sorted({0, *at_rows, *(size["mass"] * k // parts for k in range(parts))})
+        long = lambda x: F.lit(x).cast("bigint")
+        range_of = lambda u: place(u, cuts, long)
+        spans = cdf.select("_idx", "_lo", F.explode(F.sequence(range_of(F.col("_lo")), range_of(F.col("_lo") + F.col("_m") - 1))).alias("_bk"))
+        spans = spans.select("_bk", F.col("_lo").alias("_u"), "_idx", F.lit(None).cast("bigint").alias("_draw"))
+        thrown = base.sparkSession.range(total).select(F.col("id").alias("_draw"), (hash_u60(seed, epoch, "w", "id") % size["mass"]).alias("_u"))
+        thrown = thrown.select(range_of(F.col("_u")).alias("_bk"), "_u", F.lit(None).cast("bigint").alias("_idx"), "_draw")
+        carried = F.last("_idx", ignorenulls=True).over(Window.partitionBy("_bk").orderBy("_u", F.col("_draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        both = spans.withColumn("_idx", F.col("_idx").cast("bigint")).unionByName(thrown)
+        return both.withColumn("_idx", carried).where(F.col("_draw").isNotNull()).select("_idx", "_draw")
 
     def rounds(self, base: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
-        """(_idx, _draw) of rounds without replacement: the least keys -ln(u)/w of each round."""
+        """(_idx, _draw) of rounds without replacement: the least keys -ln(u)/w of each round.
+
+        One pass over the rows gives all rounds: a row goes on to a round only if its key is below
+        a bound that more than enough rows are expected to be under; ranks are taken of those.
+        """
         rows = self.weighted(base).where("_w > 0")
         k = min(self.sampling_size, total) if total else 0
         if rows.limit(k).count() < k:
             raise ValueError("fewer rows of positive weight than a round draws")
-        out = None
-        for r in range(-(-total // self.sampling_size)):
-            size = min(self.sampling_size, total - r * self.sampling_size)
-            key = -F.log(hash_unit(seed, epoch, f"r{r}", "_idx")) / F.col("_w")
-            one = rows.select("_idx", key.alias("_key")).orderBy("_key", "_idx").limit(size).select("_idx", F.lit(r).cast("bigint").alias("_draw"))
-            out = one if out is None else out.unionByName(one)
-        return out if out is not None else rows.select("_idx", F.lit(0).cast("bigint").alias("_draw")).limit(0)
+        n_rounds = -(-total // self.sampling_size)
+        if not n_rounds:
+            return rows.select("_idx", F.lit(0).cast("bigint").alias("_draw")).limit(0)
+        level = F.floor(F.log2("_w")).cast("int")
+        levels = [(2.0 ** r["level"], r["count"]) for r in rows.groupBy(level.alias("level")).count().collect()]  # one row a doubling
+        wanted = k + 8 * math.sqrt(k) + 32
+        bound = 2.0**-60
+        while sum(c * -math.expm1(-w * bound) for w, c in levels) < wanted and bound < 2.0**1000:
+            bound *= 2
+        every = sum(c for _, c in levels) <= wanted
+        parts = lambda r: F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.concat(F.lit("r"), r.cast("string")), F.col("_idx").cast("string"))
+        unit = lambda r: (F.conv(F.substr(F.md5(parts(r)), F.lit(1), F.lit(13)), 16, 10).cast("bigint").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
+        keyed = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(n_rounds - 1).cast("bigint")), lambda r: F.struct(r.alias("round"), (-F.log(unit(r)) / F.col("_w")).alias("key")))
+        size = F.when(F.col("_draw") == n_rounds - 1, total - (n_rounds - 1) * self.sampling_size).otherwise(self.sampling_size)
+        while True:
+            some = keyed if every else F.filter(keyed, lambda s: s.key < bound)  # noqa: B023
+            picked = rows.select("_idx", F.explode(some).alias("s")).select("_idx", F.col("s.round").alias("_draw"), F.col("s.key").alias("_key"))
+            if every or picked.groupBy("_draw").count().where(F.col("count") >= k).count() == n_rounds:
+                break
+            bound, every = 2 * bound, bound > 2.0**1000
+        rank = F.row_number().over(Window.partitionBy("_draw").orderBy("_key", "_idx"))
+        return picked.withColumn("_rank", rank).where(F.col("_rank") <= size).select("_idx", "_draw")
 
     def plan(self, base, seed=0, epoch=0):
         total = self.length(base)
@@ -217,9 +261,10 @@ class ClassBalanced(Weighted):
     def weighted(self, base):
         counted = (base if self.scope == "global" else self.selected(base)).where(F.col(self.label).isNotNull()).groupBy(self.label).agg((1.0 / F.count("*")).alias("_w"))
         rows = self.selected(base).select("_idx", self.label).join(counted, self.label).select("_idx", "_w")
-        self._total = rows.agg(F.sum("_w").alias("t")).first()["t"]
-        if not self._total:
+        stats = rows.agg(F.max("_w").alias("most"), F.count("*").alias("n")).first()
+        if not stats["most"]:
             raise ValueError("no labels")
+        self._most, self._rows = stats["most"], stats["n"]
         return rows
 
     def draws(self, base, total, seed, epoch):
@@ -230,12 +275,12 @@ class ClassBalanced(Weighted):
             sizes = sizes.join(whole, "_g").withColumn("_m", F.floor(F.lit(SCALE) * F.col("_n") / F.col("_all")).cast("bigint"))
         else:
             sizes = sizes.withColumn("_m", F.lit(SCALE).cast("bigint"))
-        # the number of classes is checked: few are a literal CDF, many take the general way
+        # few classes are a literal CDF, many a table; both give the same draws
         classes = sizes.orderBy("_g").limit(LITERAL_GROUPS + 1).collect()
         if not classes:
             raise ValueError("no labels")
         if len(classes) > LITERAL_GROUPS:
-            return super().draws(base, total, seed, epoch)
+            return self._of_many(base, chosen, sizes, total, seed, epoch)
         ends, sum_ = [], 0
         for r in classes:
             sum_ += r["_m"]
@@ -250,3 +295,16 @@ class ClassBalanced(Weighted):
         of = lambda xs: F.element_at(F.array(*[F.lit(x).cast("bigint") for x in xs]), F.col("_c"))
         wanted = thrown.select("_draw", (of(starts) + F.col("_v") % of([r["_n"] for r in classes])).alias("_row"))
         return wanted.join(with_ordinal(chosen, "_g", "_idx", name="_row").select("_idx", "_row"), "_row").select("_idx", "_draw")
+
+    def _of_many(self, base: DataFrame, chosen: DataFrame, sizes: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
+        """The same draws from a table of classes: each class is a row of the CDF, each of its rows an equal share."""
+        ranked = with_ordinal(sizes, "_g", name="_c")
+        n = ranked.count()
+        table = running_sum(running_sum(ranked, "_c", "_m", "_lo", n), "_c", "_n", "_first", n)
+        mass = table.agg(F.sum("_m").alias("m")).first()["m"]
+        width = max(1, mass // n)  # classes are of like mass: a bucket holds few
+        cut = table.select("_lo", "_m", "_n", "_first", F.explode(F.sequence(F.floor(F.col("_lo") / F.lit(width)), F.floor((F.col("_lo") + F.col("_m") - 1) / F.lit(width)))).alias("_bk"))
+        thrown = base.sparkSession.range(total).select(F.col("id").alias("_draw"), (hash_u60(seed, epoch, "g", "id") % mass).alias("_u"), hash_u60(seed, epoch, "m", "id").alias("_v"))
+        hit = thrown.withColumn("_bk", F.floor(F.col("_u") / F.lit(width))).join(cut, "_bk").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_lo") + F.col("_m")))
+        wanted = hit.select("_draw", (F.col("_first") + F.col("_v") % F.col("_n")).alias("_row"))
+        return wanted.join(with_ordinal(chosen, "_g", "_idx", name="_row").select("_idx", "_row"), "_row").select("_idx", "_draw")

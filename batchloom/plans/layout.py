@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,29 @@ def layout(plan: DataFrame, n: int, batch_size: int, fetch_factor: int = 16, *,
 
 def length(n: int, batch_size: int, fetch_factor: int = 16, *, drop_last: bool = False, rank: int = 0, world_size: int = 1) -> int:
     """Batches that ``rank`` gets."""
-    size, out = batch_size * fetch_factor, 0
-    for fetch in range(rank, -(-n // size), world_size):
-        held = min(size, n - fetch * size)
-        out += held // batch_size if drop_last else -(-held // batch_size)
-    return out
+    size = batch_size * fetch_factor
+    fetches = -(-n // size)
+    mine = max(0, -(-(fetches - rank) // world_size))
+    if not mine:
+        return 0
+    # all fetches but the last of all are full
+    last = n - (fetches - 1) * size if (fetches - 1 - rank) % world_size == 0 else size
+    return (mine - 1) * fetch_factor + (last // batch_size if drop_last else -(-last // batch_size))
+
+
+def seed_of(seed: int | None = None) -> int:
+    """The given seed, or a random one in [0, 2^31), chosen once on the driver: the plan carries it to every rank and task."""
+    return secrets.randbelow(1 << 31) if seed is None else seed
+
+
+def rank_and_world(rank: int | None = None, world_size: int | None = None) -> tuple[int, int]:
+    """Rank and world size: as given, else of an initialised torch.distributed group, else 0 and 1."""
+    found = (0, 1)
+    try:
+        import torch.distributed as dist
+
+        if dist.is_available() and dist.is_initialized():
+            found = dist.get_rank(), dist.get_world_size()
+    except ImportError:
+        pass
+    return found[0] if rank is None else rank, found[1] if world_size is None else world_size

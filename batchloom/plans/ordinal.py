@@ -2,7 +2,7 @@
 
 A rank is an offset a range plus a rank inside the range. Ranges of a hash are its leading digits;
 ranges of a key are bounded by keys of a hash-chosen sample; either way one narrow shuffle moves
-the rows and a table of at most a few thousand offsets is broadcast.
+the rows and a table of offsets is broadcast, one row a range and ``RANGES`` at most.
 """
 
 from __future__ import annotations
@@ -12,7 +12,21 @@ from pyspark.sql import functions as F
 
 #: Rows up to which one window task is the cheaper plan.
 SMALL = 200_000
-_DIGITS = 3  # 4096 ranges of a hash
+#: Ranges at most: beyond that the ranges grow with the data, not their number.
+RANGES = 1 << 16
+
+
+def place(value: Column, cuts: list, literal=F.lit) -> Column:
+    """How many of the ascending ``cuts`` are at or below ``value``, in two levels: a row is compared with some 2 sqrt(n) of them."""
+    if not cuts:
+        return F.lit(0)
+    side = max(1, int(len(cuts) ** 0.5))
+    rows = [cuts[i : i + side] for i in range(0, len(cuts), side)]
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= value))
+    listed = lambda xs: F.array(*map(literal, xs))
+    row = below(listed([r[0] for r in rows]))
+    inside = below(F.element_at(F.array(*map(listed, rows)), F.greatest(row, F.lit(1))))
+    return F.when(row == 0, 0).otherwise((row - 1) * side + inside)
 
 
 def _offsets(ranged: DataFrame, value: Column, sum_: str) -> DataFrame:
@@ -28,9 +42,10 @@ def _ranked(ranged: DataFrame, order: list[Column], name: str) -> DataFrame:
     return ranged.withColumn(name, inside).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
 
 
-def rank_by_hash(df: DataFrame, hash_: Column, tie: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the 0-based rank by (hash_, tie)."""
-    ranged = df.withColumn("_hash", hash_).withColumn("_range", F.substr("_hash", F.lit(1), F.lit(_DIGITS)))
+def rank_by_hash(df: DataFrame, hash_: Column, tie: str, name: str, n: int = 1 << 24) -> DataFrame:
+    """``df`` (about ``n`` rows) with ``name``: the 0-based rank by (hash_, tie). Ranges are by one to four hex digits."""
+    digits = min(4, max(1, (max(1, n // 50_000).bit_length() + 3) // 4))
+    ranged = df.withColumn("_hash", hash_).withColumn("_range", F.substr("_hash", F.lit(1), F.lit(digits)))
     return _ranked(ranged, [F.col("_hash"), F.col(tie)], name).drop("_hash")
 
 
@@ -53,19 +68,19 @@ def with_ordinal(df: DataFrame, *order_by: str, name: str = "_idx", method: str
     if method == "window" or (method == "auto" and n <= SMALL):
         return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)).cast("bigint") - 1)
     n = n or df.count()
-    ranges = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = min(RANGES, max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cuts = _cuts(df, keys, n, ranges)
     if not cuts:
         return with_ordinal(df, *keys, name=name, method="window")
     fields = {f.name: f.dataType for f in df.schema.fields}
-    bounds = F.array(*[F.struct(*[F.lit(r[k]).cast(fields[k]).alias(k) for k in keys]) for r in cuts])
-    here = F.struct(*[F.col(k) for k in keys])
-    ranged = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= here)))
+    bound = lambda r: F.struct(*[F.lit(r[k]).cast(fields[k]).alias(k) for k in keys])
+    ranged = df.withColumn("_range", place(F.struct(*[F.col(k) for k in keys]), cuts, bound))
     return _ranked(ranged, [F.col(k) for k in keys], name)
 
 
-def running_sum(df: DataFrame, ordinal: str, value: str, name: str, width: int = 1 << 16) -> DataFrame:
-    """``df`` with ``name``: the sum of the BIGINT ``value`` over all rows of a smaller ``ordinal``."""
+def running_sum(df: DataFrame, ordinal: str, value: str, name: str, n: int, width: int = 1 << 16) -> DataFrame:
+    """``df`` (``n`` ordinals) with ``name``: the sum of the BIGINT ``value`` over all rows of a smaller ``ordinal``."""
+    width = max(width, -(-n // RANGES))
     ranged = df.withColumn("_range", F.floor(F.col(ordinal) / width))
     window = Window.partitionBy("_range").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = ranged.withColumn(name, F.sum(value).over(window) - F.col(value))

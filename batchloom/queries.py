@@ -19,10 +19,10 @@ from batchloom.operators.models import linear_logits, multitask_loss, predict, s
 from batchloom.operators.split import first_n, split_by_group, split_random, split_stratified
 from batchloom.operators.strategy import BlockShuffle, ClassBalanced, Sequential, Strategy, Weighted
 from batchloom.operators.weights import class_inverse_frequency, class_weights, combination_weights, value_counts, weight_stats
-from batchloom.plans.layout import layout, length
+from batchloom.plans.layout import layout, length, rank_and_world, seed_of
 from batchloom.plans.ordinal import with_ordinal
-from batchloom.plans.tuning import row_bytes, sample_size
-from batchloom.sources.files import read_results, scan_files, scan_ids, scratch_path, write_results
+from batchloom.plans.tuning import row_bytes, sample_size, suggest_parameters
+from batchloom.sources.files import read_results, scan_files, scan_ids, scratch_path, strategy_config, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,9 +206,9 @@ SCALE = 1 << 40
 
 
 def cdf(rows: str, total: str) -> str:
-    """CTE r (idx, s): draws from ``rows`` (idx, w), ranked."""
-    return f"""t AS (SELECT sum(w) AS t FROM {rows}),
-m AS (SELECT idx, greatest(floor(w / (SELECT t FROM t) * {SCALE}::DOUBLE), 1)::BIGINT AS m FROM {rows} WHERE w > 0),
+    """CTE r (idx, s): draws from ``rows`` (idx, w), ranked. The weights become whole numbers in proportion to the greatest."""
+    bits = f"greatest(12, least(40, 50 - length(bin((SELECT count(*) FROM {rows})))))"
+    return f"""m AS (SELECT idx, greatest(floor(w / (SELECT max(w) FROM {rows}) * pow(2, {bits})::DOUBLE), 1)::BIGINT AS m FROM {rows} WHERE w > 0),
 c AS (SELECT idx, m, (sum(m) OVER (ORDER BY idx))::BIGINT - m AS lo FROM m),
 d AS (SELECT i AS draw, {u60('w', 'i')} % (SELECT sum(m)::BIGINT FROM m) AS u FROM range({total}) x(i)),
 r AS (SELECT idx, row_number() OVER (ORDER BY idx, draw) - 1 AS s FROM (SELECT c.idx, d.draw FROM d ASOF JOIN c ON d.u >= c.lo) z)"""
@@ -294,19 +294,13 @@ def f2_combo_weights(spark, sf):
 
 
 @query(
-    f"WITH ev AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), {_COMBO}, w AS (SELECT idx, round(w * 1000) / 1000 AS w FROM ev JOIN cw ON a = o_orderpriority AND b = o_orderstatus), {cdf('w', '5000')}, {blocks('r', 16)} SELECT o_orderkey, pos FROM p JOIN ev USING (idx)".replace("sum(w) AS t", "sum((w * 1000)::BIGINT)::DOUBLE / 1000 AS t")
+    f"WITH ev AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx FROM orders), {_COMBO}, w AS (SELECT idx, round(w * 1000) / 1000 AS w FROM ev JOIN cw ON a = o_orderpriority AND b = o_orderstatus), {cdf('w', '5000')}, {blocks('r', 16)} SELECT o_orderkey, pos FROM p JOIN ev USING (idx)"
 )
 def c16_combo_weighted(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
     base = with_ordinal(combination_weights(rows, "o_orderpriority", "o_orderstatus"), "o_orderkey")
-
-    class Exact(Weighted):  # the sum over thousandths does not depend on the order of the rows
-        def weighted(self, base):
-            out = base.select("_idx", (F.round(F.col("weight") * 1000) / 1000).alias("_w"))
-            self._total = out.agg((F.sum(F.round(F.col("_w") * 1000).cast("bigint")).cast("double") / 1000).alias("t")).first()["t"]
-            return out
-
-    return out(planned(base, Exact(16, total_size=5000)), base, "o_orderkey")
+    # thousandths: the two engines' weights may differ in the last bit
+    return out(planned(base, Weighted(16, weights=F.round(F.col("weight") * 1000) / 1000, total_size=5000)), base, "o_orderkey")
 
 
 # ---- D: layout ----
@@ -344,10 +338,30 @@ def d8_len_batches(spark, sf):
     return spark.createDataFrame([(r, length(n, 48, 4, rank=r, world_size=3)) for r in range(3)], "rank bigint, n_batches bigint")
 
 
-@query(f"WITH {E}, {ALL}, {blocks('r', 24, epoch=2)}, {laid(32, 4, h('f', 'pos', epoch=2) + ', pos')} SELECT event_id, batch, slot FROM l JOIN ev USING (idx) WHERE batch >= 100")
+@query(f"WITH {E}, {ALL}, {blocks('r', 24, epoch=2)}, {laid(32, 4, h('f', 'pos', epoch=2) + ', pos')} SELECT event_id, batch, slot FROM l JOIN ev USING (idx)")
 def d12_resume_epoch(spark, sf):
     base = events(spark, sf)
-    return out(spread(base, BlockShuffle(24), 32, 4, epoch=2).where("_batch >= 100"), base, batch="_batch", slot="_slot")
+    return out(spread(base, BlockShuffle(24), 32, 4, epoch=2), base, batch="_batch", slot="_slot")
+
+
+@query(f"WITH {E}, {ALL}, {blocks('r', 24).replace("'7'", "'20260101'")} {POS}")
+def d10_seed_init(spark, sf):
+    """A given seed is used as it is (without one, one is chosen on the driver for all ranks)."""
+    base = events(spark, sf)
+    return out(BlockShuffle(24).plan(base, seed_of(20260101)), base)
+
+
+@query("SELECT r.r::BIGINT AS rank, 3::BIGINT AS world_size FROM range(3) r(r) UNION ALL SELECT 0, 1")
+def d11_ddp_detect(spark, sf):
+    """Rank and world size as given; without a process group rank 0 of 1."""
+    return spark.createDataFrame([*(rank_and_world(r, 3) for r in range(3)), rank_and_world()], "rank bigint, world_size bigint")
+
+
+@query("SELECT * FROM (VALUES ('batch_size', 128), ('block_size', 16), ('epochs', 2), ('seed', 42)) v(name, value)")
+def a7_i6_config(spark, sf):
+    """Command line over file over defaults; an override of the block size beats the strategy's own."""
+    merged = strategy_config({"batch_size": 128, "seed": None}, {"batch_size": 64, "seed": 42}, {"epochs": 2, "batch_size": 32}, {"block_size": 16})
+    return spark.createDataFrame(sorted(merged.items()), "name string, value int")
 
 
 # ---- E: transforms ----
@@ -464,6 +478,17 @@ def e1_e4_hooks(spark, sf):
     return done.groupBy(F.col("_batch").alias("batch")).agg(F.sum("x").alias("total"))
 
 
+@query(f"WITH {E}, {_SEQ}, {laid(32, 4)} SELECT batch, count(*)::BIGINT AS n, sum(idx * (slot + 1))::BIGINT AS checksum FROM l GROUP BY 1")
+def e2_batch_callback(spark, sf):
+    """A user function of each batch's rows in the order of their slots."""
+    rows = spread(events(spark, sf), Sequential(), 32, 4).select("_batch", "_slot", F.col("_idx").alias("x"))
+
+    def summed(p):
+        return p.iloc[:1][["_batch"]].assign(n=len(p), checksum=int((p["x"] * (p["_slot"] + 1)).sum()))
+
+    return X.hooks(rows, batch_callback=(summed, "_batch bigint, n bigint, checksum bigint")).withColumnRenamed("_batch", "batch")
+
+
 # ---- F: weights, encoders, metrics ----
 
 
@@ -593,10 +618,26 @@ def f18_axis_limits(spark, sf):
 # ---- G: subsets ----
 
 
-@query("SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE doc_id < 500")
+@query("SELECT doc_id, quality, 2 * doc_id < (SELECT max(doc_id) FROM documents) AS is_train FROM documents JOIN labels USING (doc_id)")
 def g1_split_subset(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id").where("doc_id < 500")
-    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    """Both halves of a split by position, labelled."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    return docs.join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id").withColumn("is_train", 2 * F.col("doc_id") < F.lit(last))
+
+
+@query("SELECT doc_id, lang, source FROM documents")
+def g5_project_obs(spark, sf):
+    """The observation columns alone: the scan reads no text."""
+    return scan_files(spark, [f"{sf}/documents.parquet"], ["doc_id", "lang", "source"]).select("doc_id", "lang", "source")
+
+
+@query(f"WITH {E} SELECT event_id, (row_number() OVER (ORDER BY {h('o', 'idx')}, idx) * 0 + row_number() OVER (ORDER BY idx) - 1)::BIGINT AS pos FROM ev WHERE idx % 7 < 3")
+def g7_sort_indices(spark, sf):
+    """Ids given in a random order are used in ascending order."""
+    base = events(spark, sf)
+    ids = base.where(F.col("_idx") % 7 < 3).select("_idx").orderBy(F.md5(F.col("_idx").cast("string")))
+    return out(Sequential(ids).plan(base), base)
 
 
 @query(f"SELECT o_orderkey, row_number() OVER (ORDER BY {h('split', 'o_orderkey')}, o_orderkey) - 1 < ceil(0.2E0 * count(*) OVER ()) AS is_test FROM orders")
@@ -647,6 +688,12 @@ def h2_estimate_sample_size(spark, sf):
     return sample_size(docs, "_idx", "doc_id", "text")
 
 
+@query("SELECT * FROM (VALUES ('block_size_aggressive', 512.0::DOUBLE), ('block_size_balanced', 256.0), ('block_size_conservative', 128.0), ('fetch_factor', 256.0), ('memory_per_worker_mb', 62.5), ('num_workers', 4.0), ('prefetch_factor', 257.0), ('total_memory_mb', 250.0)) v(name, value)")
+def h3_suggest_parameters(spark, sf):
+    found = suggest_parameters(2000, 64, memory=16 << 30, cpus=8)
+    return spark.createDataFrame([(k, float(v)) for k, v in sorted(found.items())], "name string, value double")
+
+
 _W = [[0.5, -0.25, 1.0], [-1.0, 0.75, 0.25], [0.0, 0.5, -0.5]]
 _L = "lg AS (SELECT vec_id, label % 3 AS y, " + ", ".join(f"({' + '.join(f'embedding[{i + 1}]::DOUBLE * ({w})' for i, w in enumerate(ws))} + ({b}))::DOUBLE AS l{k}" for k, (ws, b) in enumerate(zip(_W, (0.1, 0.0, -0.1), strict=True))) + " FROM embeddings)"
 

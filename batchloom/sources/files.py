@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import pickle
+import shutil
 import tempfile
 import uuid
 import warnings
@@ -78,9 +81,23 @@ def merge_config(command_line: dict, file: dict, defaults: dict) -> dict:
     return {**defaults, **given(file), **given(command_line)}
 
 
+def strategy_config(command_line: dict, file: dict, defaults: dict, strategy: dict | None = None) -> dict:
+    """``merge_config``; block_size is that of the command line, else the strategy's, else None, and never a default."""
+    out = merge_config(command_line, file, defaults)
+    out["block_size"] = command_line.get("block_size") if command_line.get("block_size") is not None else (strategy or {}).get("block_size")
+    return out
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that executors share (a temporary one in local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="batchloom-")
+    """A new path in the folder that executors share, spark.checkpoint.dir (a temporary one in local runs, where it is unset)."""
+    conf = spark.sparkContext.getConf()
+    base = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not base:
+        if not conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="batchloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = "file://" + folder
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -113,17 +130,41 @@ def read_results(spark: SparkSession, path: str, schema: str, kind: str = "csv")
     return spark.read.schema(schema).option("header", True).csv(path) if kind == "csv" else spark.read.schema(schema).json(path)
 
 
-def run_grid(function, configs: list[dict]) -> list[dict]:
-    """``function`` of each config; a failure becomes a row with status and message."""
+def run_grid(function, configs: list[dict], folder: str | None = None) -> list[dict]:
+    """``function`` of each config; a failure becomes a row with status and message.
+
+    With ``folder`` each run leaves <name>/results.json (or error.json) there and all a summary.json.
+    """
     out = []
-    for config in configs:
+    for i, config in enumerate(configs):
         try:
             out.append({**config, **function(**config), "status": "ok", "error": None})
         except Exception as e:
             out.append({**config, "status": "failed", "error": str(e)[:500]})
+        if folder:
+            name = str(config.get("name", i))
+            save_json(out[-1], os.path.join(folder, name, "results.json" if out[-1]["status"] == "ok" else "error.json"))
+    if folder:
+        save_json({"runs": len(out), "ok": sum(r["status"] == "ok" for r in out), "failed": [r.get("name", i) for i, r in enumerate(out) if r["status"] == "failed"]}, os.path.join(folder, "summary.json"))
     return out
 
 
+def load_runs(folder: str, part: str = "") -> dict[str, dict]:
+    """The results of the runs whose folder's name holds ``part``: results.json, else results.pkl of a trusted run; runs with neither are left out."""
+    found = {}
+    for name in sorted(os.listdir(folder)):
+        if part not in name:
+            continue
+        text, pickled = (os.path.join(folder, name, f"results.{kind}") for kind in ("json", "pkl"))
+        if os.path.exists(text):
+            with open(text, encoding="utf-8") as f:
+                found[name] = json.load(f)
+        elif os.path.exists(pickled):
+            with open(pickled, "rb") as f:
+                found[name] = pickle.load(f)
+    return found
+
+
 def save_json(record: dict, path: str) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:

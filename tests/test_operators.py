@@ -141,3 +141,16 @@ def test_heads_learn(spark):
     df = spark.range(200).select(F.array((F.col("id") % 2) * 2.0 - 1, F.lit(0.5)).alias("x"), (F.col("id") % 2).cast("double").alias("y"))
     model = fit_heads(df, "x", ["y"], maxIter=10)["y"]
     assert model.summary.accuracy == 1.0
+
+
+def test_grid_leaves_its_records(tmp_path):
+    from batchloom.sources.files import load_runs, strategy_config
+
+    def run(name, x):
+        return {"y": 1 // x}
+
+    rows = run_grid(run, [{"name": "block_a", "x": 1}, {"name": "seq", "x": 0}], str(tmp_path))
+    assert [r["status"] for r in rows] == ["ok", "failed"] and (tmp_path / "seq" / "error.json").exists() and (tmp_path / "summary.json").exists()
+    (tmp_path / "summary.json").unlink()
+    assert list(load_runs(str(tmp_path))) == ["block_a"] and load_runs(str(tmp_path), "seq") == {}
+    assert strategy_config({}, {}, {"block_size": 4}, {"block_size": 8})["block_size"] == 8 and strategy_config({}, {}, {"block_size": 4})["block_size"] is None

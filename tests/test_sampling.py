@@ -152,7 +152,7 @@ def test_rank_and_running_sum(spark):
     df = spark.range(3000).withColumn("h", F.md5(F.col("id").cast("string"))).withColumn("v", F.col("id") % 7)
     got = rank_by_hash(df, F.col("h"), "id", "r").orderBy("r").collect()
     assert [r["r"] for r in got] == list(range(3000)) and [r["h"] for r in got] == sorted(r["h"] for r in got)
-    sums = running_sum(df, "id", "v", "lo", width=64).orderBy("id").collect()
+    sums = running_sum(df, "id", "v", "lo", 1000, width=64).orderBy("id").collect()
     total = 0
     for r in sums:
         assert r["lo"] == total
@@ -163,3 +163,60 @@ def test_plans_have_no_nested_loop(spark):
     b = base(spark, 100_000).withColumn("w", (F.col("_idx") % 5).cast("double"))
     plan = Weighted(8, weights="w").draws(b, 1000, 1, 0)._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("odd", [float("nan"), float("inf"), -1.0, None])
+def test_odd_weights_are_refused(spark, odd):
+    b = spark.createDataFrame([(0, 1.0), (1, odd), (2, 2.0)], "_idx bigint, w double")
+    with pytest.raises(ValueError):
+        Weighted(1, weights="w", total_size=5).plan(b)
+
+
+def test_draws_do_not_depend_on_partitions_and_a_heavy_row_takes_its_share(spark):
+    b = base(spark, 3000).withColumn("w", F.when(F.col("_idx") == 7, 1000.0).otherwise(0.1 + F.col("_idx") % 3))
+    one = sorted(map(tuple, Weighted(4, weights="w", total_size=2000).draws(b, 2000, 1, 0).collect()))
+    two = sorted(map(tuple, Weighted(4, weights="w", total_size=2000).draws(b.repartition(13), 2000, 1, 0).collect()))
+    assert one == two and len({d for _, d in one}) == 2000
+    assert abs(sum(i == 7 for i, _ in one) - 2000 * 1000 / (1000 + 3000 * 1.1)) < 120
+
+
+def test_many_classes_draw_as_few_do(spark, monkeypatch):
+    b = base(spark, 400).withColumn("g", F.col("_idx") % 7)
+    few = sorted(map(tuple, ClassBalanced("g", 4, total_size=300).draws(b, 300, 1, 0).collect()))
+    monkeypatch.setattr("batchloom.operators.strategy.LITERAL_GROUPS", 3)
+    assert sorted(map(tuple, ClassBalanced("g", 4, total_size=300).draws(b, 300, 1, 0).collect())) == few
+
+
+def test_rounds_equal_the_least_keys_of_each_round(spark):
+    from batchloom.functions.rng import hash_unit
+
+    b = base(spark, 500).withColumn("w", 0.5 + F.col("_idx") % 4)
+    got = sorted(map(tuple, Weighted(1, weights="w", total_size=130, replace=False, sampling_size=50).rounds(b, 130, 3, 1).collect()))
+    want = []
+    for r, size in enumerate((50, 50, 30)):
+        keyed = b.select("_idx", (-F.log(hash_unit(3, 1, f"r{r}", "_idx")) / F.col("w")).alias("k")).orderBy("k", "_idx").limit(size)
+        want += [(x["_idx"], r) for x in keyed.collect()]
+    assert got == sorted(want)
+
+
+@pytest.mark.parametrize("n,size,factor,world", [(0, 4, 2, 1), (1, 4, 2, 3), (100, 64, 1, 8), (107, 10, 5, 2), (1000, 16, 4, 3), (64, 8, 2, 4), (129, 8, 2, 4)])
+def test_length_in_closed_form(n, size, factor, world):
+    for drop in (False, True):
+        for rank in range(world):
+            held = [min(size * factor, n - f * size * factor) for f in range(rank, -(-n // (size * factor)), world)]
+            assert length(n, size, factor, drop_last=drop, rank=rank, world_size=world) == sum(h // size if drop else -(-h // size) for h in held)
+
+
+def test_seed_and_rank(monkeypatch):
+    from batchloom.plans.layout import rank_and_world, seed_of
+
+    assert seed_of(5) == 5 and 0 <= seed_of() < 1 << 31 and len({seed_of() for _ in range(8)}) > 1
+    assert rank_and_world() == (0, 1) and rank_and_world(2, 4) == (2, 4)
+
+
+def test_place_counts_cuts_at_or_below(spark):
+    from batchloom.plans.ordinal import place
+
+    for cuts in ([], [3], list(range(0, 200, 7)), [5, 6, 100]):
+        rows = spark.range(-3, 210).select("id", place(F.col("id"), cuts, lambda x: F.lit(x).cast("bigint")).alias("n")).collect()
+        assert all(r["n"] == sum(c <= r["id"] for c in cuts) for r in rows)
