@@ -75,13 +75,13 @@ class Scratch:
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` as Parquet now and return a frame that reads it back."""
         path = self.path(label)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def save_by(self, df: DataFrame, key: str, parts: int, label: str = "t") -> DataFrame:
         """As ``save``, dealt into ``parts`` buckets by ``key``: what groups by it later doesn't move the rows again."""
         name = f"batchloom_{label}_{uuid.uuid4().hex}"
-        df.write.bucketBy(parts, key).option("path", self.path(label)).format("parquet").saveAsTable(name)
+        df.write.bucketBy(parts, key).option("compression", "zstd").option("path", self.path(label)).format("parquet").saveAsTable(name)
         self.tables.append(name)
         return self.spark.table(name)
 
@@ -90,10 +90,18 @@ class Scratch:
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete a table that ``save`` gave and nothing reads any more."""
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            self._delete(folder)
+
     def clear(self) -> None:
         with contextlib.suppress(Exception):  # the session may be gone already
             for name in self.tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(self.root)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(self.root)

@@ -38,7 +38,7 @@ MARK = "▁"
 #: Distinct segments that most chunks hold and whose ids are broadcast.
 HOT_SEGMENTS = 200_000
 #: Bytes of a chunk's texts (a longer text is a chunk alone), and distinct segments of a lattice task.
-CHUNK_BYTES, LATTICE_SEGMENTS = 4_000_000, 40_000
+CHUNK_BYTES, LATTICE_SEGMENTS = 6_000_000, 40_000
 #: Buckets of chunks at most (Spark's own bound).
 BUCKETS = 100_000
 #: Longer segments (runs of one letter, of spaces) are folded where they stand, by the same rule: the
@@ -295,7 +295,7 @@ def _packed(text_at: int, shared) -> Callable:
                 writer.write_table(rest.combine_chunks())
             listed = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.take(order).cast(pa.string()))
             one = lambda value, kind: pa.array([value], kind)
-            values = [one((place << 32) + seen, pa.int64()), listed, one(sink.getvalue().to_pybytes(), pa.binary()), one(len(planes), pa.int64()), one(pa.compress(planes, "zstd", asbytes=True), pa.binary())]
+            values = [one((place << 32) + seen, pa.int64()), listed, one(sink.getvalue().to_pybytes(), pa.binary()), one(len(planes), pa.int64()), one(pa.Codec("zstd", 6).compress(planes, asbytes=True), pa.binary())]
             seen += 1
             pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays(values, ["chunk", "words", "rest", "n_planes", "planes"])
@@ -323,7 +323,7 @@ def _encoded(shared, hot) -> Callable:
                 n = np.concatenate((sizes, np.array([len(x) for x in long], np.int64)))
                 every = np.concatenate((flat, np.array(list(chain.from_iterable(long)), np.int32)))
                 table = pa.ipc.open_stream(row.column("rest")[at].as_py()).read_all()
-                planes = pa.decompress(row.column("planes")[at].as_py(), row.column("n_planes")[at].as_py(), "zstd", asbytes=True)
+                planes = pa.Codec("zstd").decompress(row.column("planes")[at].as_py(), row.column("n_planes")[at].as_py(), asbytes=True)
                 numbers = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
                 ids, begins = gathered(every, np.cumsum(n) - n, n, spot[numbers])
                 offsets = begins[np.concatenate(([0], np.cumsum(table["_segments"].to_numpy())))]
@@ -363,6 +363,7 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     # a task's segments are bounded, so their edges are grouped in memory, without a sort
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(4 * LATTICE_SEGMENTS)):
         known = scratch.save(lattice(counted.repartition(tasks, "word"), model), "known")
+    scratch.drop(counted)
     scratch.let_go()
     # the least count that lets at most HOT_SEGMENTS through, by classes of an eighth of a doubling
     level = F.floor(F.log2("n") * 8).cast("int")
