@@ -151,14 +151,14 @@ class Field:
             out += seen[moved]
         return out
 
-    def decode(self, emit: np.ndarray) -> list[int]:
-        """The best path by Viterbi; inside follows begin or inside only."""
-        best, back = emit[0] + [0, 0, _FORBIDDEN], []
+    def decode(self, emit: np.ndarray, before: bool = False, after: bool = False) -> list[int]:
+        """The best path by Viterbi; inside follows begin or inside only. ``before``, ``after``: whether a token that is outside stands there."""
+        best, back = emit[0] + (self.move[0] if before else [0, 0, _FORBIDDEN]), []
         for row in emit[1:]:
             way = best[:, None] + self.move
             back.append(way.argmax(axis=0))
             best = way.max(axis=0) + row
-        path = [int(best.argmax())]
+        path = [int((best + self.move[:, 0] if after else best).argmax())]
         for step in reversed(back):
             path.append(int(step[path[-1]]))
         return path[::-1]
@@ -412,7 +412,7 @@ def crf_spans(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
         i = int(owner[s])
         held: list[int] | None = None
         found: list[list[int]] = []
-        for a, b, state in zip(begins[s:e].tolist(), ends[s:e].tolist(), field.decode(emit[s:e]), strict=True):
+        for a, b, state in zip(begins[s:e].tolist(), ends[s:e].tolist(), field.decode(emit[s:e], s > 0 and owner[s - 1] == i, not last[e - 1]), strict=True):
             word = texts[i][a:b]
             a, b = a + len(word) - len(word.lstrip(_EDGES)), b - len(word) + len(word.rstrip(_EDGES + "."))
             if state == 2 and held:
