@@ -352,7 +352,7 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     # written once: a chunk that is read again, after a lost executor too, holds the same rows;
     # in buckets by chunk, so that the answers come to the chunks and these stay where they are
     rows = plain.mapInArrow(_packed(text_at, shared), "chunk bigint, words array<string>, rest binary, n_planes bigint, planes binary")
-    buckets = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), plain.rdd.getNumPartitions()), BUCKETS)
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
         packed = scratch.save_by(rows, "chunk", buckets, "packed")
     wanted = packed.select("chunk", F.explode("words").alias("word")).where(F.char_length("word") <= LONG)

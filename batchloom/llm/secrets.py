@@ -2,7 +2,7 @@
 
 Tokens are runs of characters other than white space. The field has the states outside, begin and
 inside; a token's score is the sum of weights of its own features (length, shares of digits and
-vowels, changes between letters and digits, case, shape, marks, hashed word), of the words and marks
+vowels, changes between letters and digits, case, shape, marks, hashed word and beginning), of the words and marks
 of its neighbours, and of features of the file (here: the whole text). Every token of a text is scored, by
 array operations over distinct tokens, and the whole chain is decoded exactly: a token at which
 "outside" wins whatever its neighbours' states are is a cut, and Viterbi runs over what lies
@@ -46,8 +46,8 @@ CHUNK_BYTES = 4_000_000
 _EDGES = "\"'`,;:()[]{}<>|!?"
 #: Neighbours whose features a token sees, and values of each slot of a token's own features.
 NEAR = (-3, -2, -1, 1)
-WORDS, SHAPES = 4096, 512
-SLOTS = (20, 11, 14, 32, SHAPES, 256, WORDS, 16)
+WORDS, SHAPES, HEADS = 4096, 512, 1024
+SLOTS = (20, 11, 14, 32, SHAPES, 256, WORDS, 16, HEADS)
 _FILE = 6
 _FORBIDDEN = -1e9
 
@@ -111,9 +111,11 @@ def own_features(tokens: pa.LargeStringArray) -> np.ndarray:
     hashed = np.where(body, _mixed(letters_at * _P1 + at.astype(np.uint64)), np.uint64(0))
     word = (np.add.reduceat(hashed, begins) % np.uint64(WORDS - 2)).astype(np.int64) + 2
     word = np.where(of(body) == 0, 1, np.where(of(body) > 24, 0, word))
+    head = np.where(body & (at < 3), _mixed(codes.astype(np.uint64) * _P1 + at.astype(np.uint64)), np.uint64(0))
+    head = np.where(n < 8, 0, (np.add.reduceat(head, begins) % np.uint64(HEADS - 1)).astype(np.int64) + 1)
     flags = np.bitwise_or.reduceat(np.where(codes < 0x80, _FLAG[ascii_], 0), begins)
     case = np.where(letters == 0, 0, np.where(upper == 0, 1, np.where(lower == 0, 2, np.where((kind[begins] == _UPPER) & (upper == 1), 3, 4)))) * 6 + np.minimum(turns, 5)
-    columns = [np.minimum(n, 57) // 3, 10 * digits // n, np.minimum(changes, 13), np.minimum(case, 31), shape % SHAPES, flags, word, np.where(letters < 6, 0, 1 + 10 * vowels // np.maximum(letters, 1))]
+    columns = [np.minimum(n, 57) // 3, 10 * digits // n, np.minimum(changes, 13), np.minimum(case, 31), shape % SHAPES, flags, word, np.where(letters < 6, 0, 1 + 10 * vowels // np.maximum(letters, 1)), head]
     return np.stack([np.minimum(c, size - 1) for c, size in zip(columns, SLOTS, strict=True)], axis=1)
 
 
