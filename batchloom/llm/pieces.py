@@ -38,7 +38,7 @@ MARK = "▁"
 #: Distinct segments that most chunks hold and whose ids are broadcast.
 HOT_SEGMENTS = 200_000
 #: Bytes of a chunk's texts (a longer text is a chunk alone), and distinct segments of a lattice task.
-CHUNK_BYTES, LATTICE_SEGMENTS = 6_000_000, 40_000
+CHUNK_BYTES, LATTICE_SEGMENTS = 8_000_000, 20_000
 #: Buckets of chunks at most (Spark's own bound).
 BUCKETS = 100_000
 #: Longer segments (runs of one letter, of spaces) are folded where they stand, by the same rule: the
@@ -311,15 +311,17 @@ def _encoded(shared, hot) -> Callable:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model, (words, lists), parts = shared.value, hot.value, []
-        words = pa.concat_arrays([words, *(b.column(1).cast(pa.string()) for b in right.to_batches())])
         lists = pa.concat_arrays([lists, *(b.column(2).cast(lists.type) for b in right.to_batches())])
         flat, sizes = lists.flatten().to_numpy().astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64)
+        answered = right.column(1).to_numpy()
         for row in left.to_batches():
             for at in range(row.num_rows):
                 asked = row.column("words")[at].values
-                spot = pc.index_in(asked, words)
-                long = [model.segment(w) for w in asked.filter(spot.is_null()).to_pylist()]
-                spot = pc.replace_with_mask(spot, spot.is_null(), pa.array(range(len(words), len(words) + len(long)), spot.type)).to_numpy()
+                spot = pc.index_in(asked, words).fill_null(-1).to_numpy().copy()
+                spot[answered] = len(words) + np.arange(len(answered))
+                rest = np.flatnonzero(spot < 0)
+                long = [model.segment(w) for w in asked.take(rest).to_pylist()]
+                spot[rest] = len(words) + len(answered) + np.arange(len(rest))
                 n = np.concatenate((sizes, np.array([len(x) for x in long], np.int64)))
                 every = np.concatenate((flat, np.array(list(chain.from_iterable(long)), np.int32)))
                 table = pa.ipc.open_stream(row.column("rest")[at].as_py()).read_all()
@@ -355,7 +357,7 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS)
     with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
         packed = scratch.save_by(rows, "chunk", buckets, "packed")
-    wanted = packed.select("chunk", F.explode("words").alias("word")).where(F.char_length("word") <= LONG)
+    wanted = packed.select("chunk", F.posexplode("words").alias("pos", "word")).where(F.char_length("word") <= LONG)
     counted = scratch.save(wanted.groupBy("word").agg(F.count("*").alias("n")), "counts")
     scratch.let_go()
     total = counted.count()
@@ -378,7 +380,7 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     whole = lambda name, kind: pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in got[name].chunks)])
     hot = spark.sparkContext.broadcast((whole("word", pa.string()), whole("ids", pa.list_(pa.int32()))))
     seldom = wanted.join(F.broadcast(often.select("word")), "word", "left_anti")
-    answers = seldom.join(known.where(level < least).select("word", "ids"), "word").select(F.col("chunk").alias("to"), "word", "ids")
+    answers = seldom.join(known.where(level < least).select("word", "ids"), "word").select(F.col("chunk").alias("to"), "pos", "ids")
     schema = T.StructType([*[f for i, f in enumerate(plain.schema.fields) if i != text_at], T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_round_trip", T.BooleanType())])
     out = packed.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_encoded(shared, hot), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c != "text"], "_ids", "_round_trip")
