@@ -36,8 +36,8 @@ LEAST_SPREAD = 1.5
 SHARD_ROWS = 3_000_000
 #: Trusted ids that are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: Bytes of texts that are scored at once.
-CHUNK_BYTES = 32_000_000
+#: Bytes of texts that are scored at once, and how much more where the model has several shards.
+CHUNK_BYTES, SHARDED = 8_000_000, 8
 _SLICE = 1 << 21
 
 
@@ -263,7 +263,7 @@ def _score_with(shared, lang_at: int, text_at: int):
     kept = []  # a model of one shard is made once a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in chunks(batches, text_at, CHUNK_BYTES):
+        for table in chunks(batches, text_at, CHUNK_BYTES * (1 if len(shared) == 1 else SHARDED)):
             langs, texts = table.column(lang_at).to_pylist(), table.column(text_at).combine_chunks()
             sums = np.zeros(table.num_rows)
             for piece in shared:
