@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from batchloom.llm import secrets, simhash
+from batchloom.llm import secrets, simhash, surrogates
 from batchloom.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -57,7 +57,7 @@ def test_op1(spark, texts):
 def test_op2(spark, texts):
     for r in run(spark, "op2_pii_surrogates").collect():
         old = texts[r["doc_id"]]
-        kinds = ("email", "ip", "phone", "card", "person")
+        kinds = surrogates.KINDS
         assert (r["text"] == old) == (sum(r[f"n_{k}"] for k in kinds) == 0) and r["n_chars"] == len(r["text"])
         assert len(r["text"].split()) == len(old.split())
         assert not set(re.findall(r"\S+@\S+\.\w+", old)) & set(re.findall(r"\S+@\S+\.\w+", r["text"]))
@@ -146,7 +146,7 @@ def test_pipeline(spark, texts, duck):
     """Each stage against what it may do to the rows before it, and the ids against the library."""
     import sentencepiece
 
-    from batchloom.llm import near_copies, surrogates
+    from batchloom.llm import near_copies
     from batchloom.llm.common import Scratch
 
     library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
