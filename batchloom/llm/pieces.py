@@ -157,6 +157,10 @@ class Model:
             self._raw = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(sizes) - sizes, sizes
         return self._raw
 
+    def short(self) -> bool:
+        """Whether an id fits into two bytes."""
+        return len(self.names) <= 1 << 16
+
     def texts(self, lists: pa.ListArray) -> Iterator[str]:
         """The texts of lists of ids. The space that the first piece begins with is left out; bytes
         that are no UTF-8 become replacement characters."""
@@ -311,8 +315,10 @@ def _encoded(shared, hot) -> Callable:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         model, (words, lists), parts = shared.value, hot.value, []
-        lists = pa.concat_arrays([lists, *(b.column(2).cast(lists.type) for b in right.to_batches())])
-        flat, sizes = lists.flatten().to_numpy().astype(np.int32), lists.value_lengths().to_numpy().astype(np.int64)
+        blobs, kind = right.column(2), np.dtype(">u2" if model.short() else ">u4")
+        sent = np.frombuffer(b"".join(blobs.to_pylist()), kind).astype(np.int32)
+        flat = np.concatenate((lists.flatten().to_numpy().astype(np.int32), sent))
+        sizes = np.concatenate((lists.value_lengths().to_numpy().astype(np.int64), pc.binary_length(blobs).to_numpy().astype(np.int64) // kind.itemsize))
         answered = right.column(1).to_numpy()
         for row in left.to_batches():
             for at in range(row.num_rows):
@@ -380,7 +386,9 @@ def encode(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     whole = lambda name, kind: pa.concat_arrays([pa.array([], kind), *(c.cast(kind) for c in got[name].chunks)])
     hot = spark.sparkContext.broadcast((whole("word", pa.string()), whole("ids", pa.list_(pa.int32()))))
     seldom = wanted.join(F.broadcast(often.select("word")), "word", "left_anti")
-    answers = seldom.join(known.where(level < least).select("word", "ids"), "word").select(F.col("chunk").alias("to"), "pos", "ids")
+    # ids travel as bytes, two each where they fit
+    blob = F.unhex(F.array_join(F.transform("ids", lambda x: F.lpad(F.hex(x), 4 if model.short() else 8, "0")), ""))
+    answers = seldom.join(known.where(level < least).select("word", blob.alias("ids")), "word").select(F.col("chunk").alias("to"), "pos", "ids")
     schema = T.StructType([*[f for i, f in enumerate(plain.schema.fields) if i != text_at], T.StructField("_ids", T.ArrayType(T.IntegerType())), T.StructField("_round_trip", T.BooleanType())])
     out = packed.groupBy("chunk").cogroup(answers.groupBy("to")).applyInArrow(_encoded(shared, hot), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True) if c != "text"], "_ids", "_round_trip")
