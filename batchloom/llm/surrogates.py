@@ -17,6 +17,7 @@ surrogate, which keeps them distinct in one pass.
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,7 +91,8 @@ def _pick(h: Column, i: Column | int, n: int) -> Column:
 
 
 def _from(values: tuple, at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), at + 1)
+    """One of ``values`` (strings without spaces), which stand in the plan as one literal."""
+    return F.element_at(F.split(F.lit(" ".join(values)), " "), at + 1)
 
 
 def _digits(s: Column) -> Column:
@@ -200,7 +202,7 @@ def _ip(c: Column, key: str) -> Column:
     def of(o: Column) -> Column:
         part = lambda i: F.element_at(o, i).cast("int")
         special = part(1).isin(*_SPECIAL) & (part(1) != 10)
-        first = F.element_at(F.array(*[F.lit(table.get(i, i)) for i in range(256)]), part(1) + 1)
+        first = _from(tuple(str(table.get(i, i)) for i in range(256)), part(1))
         two = let(permuted_pair(part(3), part(4), F.lit(256), F.lit(256), F.concat_ws(":", F.lit(key), F.lit("ip2"), part(1), part(2))), lambda p: F.concat_ws(".", part(1), part(2), p.a, p.b))
         three = let(permuted_pair(part(2), part(3) * 256 + part(4), F.lit(256), F.lit(65536), F.concat_ws(":", F.lit(key), F.lit("ip3"), part(1))), lambda p: F.concat_ws(".", first, p.a, F.floor(p.b / 256), p.b % 256))
         return F.when(special, two).otherwise(three)
@@ -281,33 +283,28 @@ def _spelt(n: Column, values: tuple[str, ...], between: str = "") -> Column:
     return F.when(n > 0, F.concat(*[F.when(p > 0 if k else F.lit(True), F.concat(F.lit(between), _from(values, (p % size).cast("int")))).otherwise("") for k, p in enumerate(places)])).otherwise("")
 
 
-def _part_base(what: Column, group: Column, part: Column, key: str) -> Column:
-    """The surrogate of a part of a name before it is told from others: two syllables for Han, else four, or a forename."""
-    h = F.sha2(F.concat_ws(":", F.lit(key), what, part), 512)
+def _by_group(what: str, group: Column, of) -> Column:
+    """``of`` (a script or gender and script, their values) by the group; null for one that the lists don't have."""
+    lists = SYLLABLES if what == "last" else {f"{g} {script}": xs for (g, script), xs in FIRST_NAMES.items()}
+    out = F
+    for name, xs in lists.items():
+        out = out.when(group == name, of(name, xs))
+    return out
 
-    def of(h: Column) -> Column:
-        out = None
-        for script, xs in SYLLABLES.items():
-            value = F.concat(*[_from(xs, _pick(h, 2 * i, len(xs))) for i in range(2 if script == "han" else 4)])
-            fits = (what == "last") & (group == script)
-            out = F.when(fits, value) if out is None else out.when(fits, value)
-        for (g, script), xs in FIRST_NAMES.items():
-            out = out.when(group == f"{g} {script}", _from(xs, _pick(h, 0, len(xs))))
-        return out
 
-    return let(h, of)
+def _part_base(what: str, group: Column, part: Column, key: str) -> Column:
+    """The surrogate of a part of a name before it is told from others: two syllables for Han, else four, or a forename."""
+    h = F.sha2(F.concat_ws(":", F.lit(key), F.lit(what), part), 512)
+    many = lambda name: 1 if what == "first" else 2 if name == "han" else 4
+    return let(h, lambda h: _by_group(what, group, lambda name, xs: F.concat(*[_from(xs, _pick(h, 2 * i, len(xs))) for i in range(many(name))])))
 
 
-def _part(what: Column, group: Column, part: Column, number: Column, key: str) -> Column:
+def _part(what: str, group: Column, part: Column, number: Column | None, key: str) -> Column:
     """The surrogate of a part: its number, if it has one, spelt behind as further syllables or forenames."""
-    tail = None
-    for script, xs in SYLLABLES.items():
-        fits = (what == "last") & (group == script)
-        tail = F.when(fits, _spelt(number, xs)) if tail is None else tail.when(fits, _spelt(number, xs))
-    for (g, script), xs in FIRST_NAMES.items():
-        tail = tail.when(group == f"{g} {script}", _spelt(number, xs, "-"))
-    made = F.concat(_part_base(what, group, part, key), tail)
-    return F.when(what == "last", F.initcap(made)).otherwise(made)
+    made = _part_base(what, group, part, key)
+    if number is not None:
+        made = F.concat(made, let(number, lambda n: _by_group(what, group, lambda _, xs: _spelt(n, xs, "" if what == "last" else "-"))))
+    return F.initcap(made) if what == "last" else made
 
 
 def parts_of(c: Column, key: str) -> Column:
@@ -316,15 +313,15 @@ def parts_of(c: Column, key: str) -> Column:
 
     def person(p: Column) -> Column:
         last, first = script_of(p.last), F.concat_ws(" ", gender_of(p), script_of(p.first))
-        surname = one("last", last, F.lower(p.last), _part_base(F.lit("last"), last, F.lower(p.last), key))
-        forename = one("first", first, F.lower(p.first), _part_base(F.lit("first"), first, F.lower(p.first), key))
+        surname = one("last", last, F.lower(p.last), _part_base("last", last, F.lower(p.last), key))
+        forename = one("first", first, F.lower(p.first), _part_base("first", first, F.lower(p.first), key))
         return F.when((p.first != "") & (script_of(p.first) != "han"), F.array(surname, forename)).otherwise(F.array(surname))
 
     def mail(c: Column) -> Column:
         return F.array(one("email", F.lit(""), F.lower(c), F.lower(_email(c, F.sha2(F.concat_ws(":", F.lit(key), F.lower(c)), 512)))))
 
     none = F.array().cast("array<struct<what:string,group:string,part:string,base:string>>")
-    return F.when(kind(c) == "email", mail(c)).when(kind(c) == "person", let(_words(c), person)).otherwise(none)
+    return let(kind(c), lambda k: F.when(k == "email", mail(c)).when(k == "person", let(_words(c), person)).otherwise(none))
 
 
 def _name_of(what, group: Column, part: Column) -> Column:
@@ -337,25 +334,27 @@ def _cased(new: Column, old: Column) -> Column:
 
 def surname(last: Column, number, key: str) -> Column:
     script = script_of(last)
-    return _cased(_part(F.lit("last"), script, F.lower(last), number(_name_of("last", script, F.lower(last))), key), last)
+    return _cased(_part("last", script, F.lower(last), number(_name_of("last", script, F.lower(last))), key), last)
 
 
 def _person(c: Column, number, key: str) -> Column:
     def of(p: Column) -> Column:
         group = F.concat_ws(" ", gender_of(p), script_of(p.first))
-        first = _cased(_part(F.lit("first"), group, F.lower(p.first), number(_name_of("first", group, F.lower(p.first))), key), p.first)
+        first = _cased(_part("first", group, F.lower(p.first), number(_name_of("first", group, F.lower(p.first))), key), p.first)
         return F.concat_ws(" ", F.nullif(p.title, F.lit("")), F.when(p.first != "", first), surname(p.last, number, key))
 
     return let(_words(c), of)
 
 
-def surrogate(c: Column, number=lambda name: F.lit(0), key: str = KEY) -> Column:
-    """The replacement of what PATTERN found; numbers of no kind stay. ``number``: a part's name to its number."""
+def surrogate(c: Column, number=lambda name: None, key: str = KEY) -> Column:
+    """The replacement of what PATTERN found; numbers of no kind stay. ``number``: a part's name to its number, None where no part has one."""
 
     def mail(c: Column) -> Column:
         new = _email(c, F.sha2(F.concat_ws(":", F.lit(key), F.lower(c)), 512))
         n = number(_name_of("email", F.lit(""), F.lower(c)))
-        return F.when(n > 0, F.regexp_replace(new, F.lit("@"), F.concat(F.lit("+"), n.cast("string"), F.lit("@")))).otherwise(new)
+        if n is None:
+            return new
+        return let(new, lambda m: let(n, lambda n: F.when(n > 0, F.regexp_replace(m, F.lit("@"), F.concat(F.lit("+"), n.cast("string"), F.lit("@")))).otherwise(m)))
 
     four = c.rlike("^[0-9.]+$")
     made = lambda k: F.when(k == "email", mail(c)).when(k == "ip", F.when(four, _ip(c, key)).otherwise(_six(c, key))).when(k == "phone", _phone(c, key)).when(k == "ssn", _numbered(c, 1, "ssn", key)).when(k == "iban", _iban(c, key)).when(k == "card", _card(c, key)).when(k == "person", _person(c, number, key)).otherwise(c)
@@ -397,10 +396,11 @@ def pseudonymise(docs: DataFrame, scratch: Scratch, key: str = KEY) -> DataFrame
     text = F.col(names[docs.columns.index("text")])
     rows = docs.select(*[F.col(c).alias(n_) for c, n_ in zip(docs.columns, names, strict=True)]).withColumn("_cs", F.coalesce(found(text), F.array().cast("array<string>")))
     if not n:
-        number = lambda name: F.lit(0).cast("bigint")
+        number = lambda name: None
     elif n <= LITERAL_NUMBERS:
-        pairs = [F.lit(x) for r in odd.collect() for x in (r["name"], r["number"])]
-        number = lambda name: F.coalesce(F.element_at(F.create_map(*pairs), name), F.lit(0).cast("bigint"))
+        listed = json.dumps({r["name"]: r["number"] for r in odd.collect()})
+        rows = rows.withColumn("_odd", F.from_json(F.lit(listed), "map<string,bigint>"))  # one literal, folded by the optimizer
+        number = lambda name: F.coalesce(F.element_at("_odd", name), F.lit(0).cast("bigint"))
     else:
         hits = rows.where(F.size("_cs") > 0).select(F.sha2(text, 256).alias("_sha"), F.explode("_cs").alias("c")).distinct().select("_sha", F.explode(parts_of(F.col("c"), key)).alias("p"))
         hits = hits.select("_sha", F.concat_ws("|", "p.what", "p.group", "p.part").alias("name")).distinct().join(odd, "name")
