@@ -1,18 +1,23 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-A 64-bit SimHash cannot serve here: two texts of Jaccard 0.8 differ in some ten of its bits and
-now and then in twenty, and no cut into blocks is selective at that bound. Candidates share one of
-``BANDS`` bands of ``ROWS`` minima each; a pair at ``LIKE`` shares none with a chance of
-(1 - LIKE^ROWS)^BANDS, 3 in a million. Every link is then decided on the whole sets of shingles.
-
-Only distinct sets are compared. Buckets with the same members are swept once; a sweep links a
-member to the first that reaches it and never lists all pairs. Buckets over ``GROUP`` members are
+"""Near-duplicates by SimHash over blocks, each link decided by the exact Jaccard similarity of word shingles.
+
+Two texts of Jaccard ``LIKE`` or more differ in some 15% of the bits of their SimHash (at most
+0.152 of them on average for large sets), which no cut of 64 bits into blocks finds. So the fingerprint has
+``64 * WORDS`` bits, cut into ``BLOCKS`` blocks of ``WIDE`` bits each. A pair at ``LIKE`` agrees in a
+block with a chance of (1 - 0.152)^WIDE, and in none with one of 1.4 in a million. Sets of four
+and five shingles, whose bits differ more often, meet under each four of their shingles too, which
+loses none. Of those that meet, what differs in over ``FAR`` of the first 192 bits is let go (six
+deviations above the mean of a pair at ``LIKE``, and five below that of unrelated texts). Every link is then decided
+on the whole sets of shingles.
+
+Only distinct sets are compared. Groups with the same members are swept once; a sweep links a
+member to the first that reaches it and never lists all pairs. Groups over their bound are
 split into cells that cover each pair of parts, so none has to fit into one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +27,13 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import Scratch
 from batchloom.llm.components import connected_components
-from batchloom.llm.simhash import first_rows, shingle_hashes
+from batchloom.llm.simhash import _ended, first_rows, majority, shingle_hashes
 
-WIDTH, LIKE, BANDS, ROWS, GROUP = 5, 0.8, 32, 5, 1024
-_SLICE, _EDGE = 2048, 1e-9
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+WIDTH, LIKE, GROUP, BUCKET = 5, 0.8, 1024, 4096
+WORDS, BLOCKS, WIDE = 28, 128, 14
+#: Differing bits of the first word, and of the first three, beyond which a pair is let go.
+FAR_ONE, FAR = 27, 60
+_EDGE, _SMALL, _TILE = 1e-9, 64, 1 << 18
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -39,32 +45,120 @@ def name(some: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(some.tobytes())
 
 
-def bands(some: np.ndarray) -> np.ndarray:
-    """A key for each band; none for an empty set."""
-    if not len(some):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(some), _SLICE):  # bounded memory for very long texts
-        mixed = _FACTORS[:, None] * (some[None, at : at + _SLICE] ^ _OFFSETS[:, None])
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, mixed.min(axis=1))
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64)
+def fours(some: np.ndarray) -> list[int]:
+    """Keys that sets of four or five shingles share if four of them are equal: the only way for a set of four to reach 0.8 with another."""
+    return [xxhash.xxh64_intdigest(np.array(x).tobytes()) >> 1 | 1 << 62 for x in combinations(some, 4)] if len(some) in (4, 5) else []
 
 
 def _sketched(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (shingles(x.as_py(), width) for x in batch.column(1))
-            both = [(name(x), bands(x)) for x in sets]
-            ends = np.cumsum([0, *[len(x) for _, x in both]])
-            keys = np.concatenate([np.zeros(0, np.uint64), *[x for _, x in both]])
-            out = [batch.column(0), pa.array(np.array([x for x, _ in both], np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "keys"])
+            for at in range(0, batch.num_rows, 256):
+                some = [shingles(x.as_py(), width) for x in batch.column(1).slice(at, 256)]
+                prints = [majority(x, WORDS).tobytes() if len(x) else b"" for x in some]
+                out = [batch.column(0).slice(at, 256), pa.array(np.array([name(x) for x in some], np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array([fours(x) for x in some], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "fp", "print", "fours"])
 
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, print, fours) to a row for each block: its number and bits as k, and the first three words; keys of fours come with zeros, so what shares them is near."""
+    weights = 1 << np.arange(WIDE, dtype=np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            part = batch.slice(at, 512)
+            fp = part.column(0).to_numpy()
+            words = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").reshape(len(fp), BLOCKS, WIDE)
+            keys = bits @ weights + (np.arange(BLOCKS, dtype=np.int64) << WIDE)
+            further = part.column(2).to_pylist()
+            more = np.array([k for x in further for k in x], np.int64)
+            fps = np.concatenate((np.repeat(fp, BLOCKS), np.repeat(fp, [len(x) for x in further])))
+            first = [np.concatenate((np.repeat(words[:, i], BLOCKS).view(np.int64), np.zeros_like(more))) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate((keys.ravel(), more)), fps, *first)], ["k", "fp", "u", "v", "w"])
+
+
+def meeting(starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of columns of ``words`` (three rows) in one bucket that differ in few enough bits; ``starts``: the buckets' first columns and the end."""
+    sizes = np.diff(starts)
+    ones, twos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def take(a: np.ndarray, b: np.ndarray) -> None:
+        near = np.bitwise_count(words[0, a] ^ words[0, b]) <= FAR_ONE
+        a, b = a[near], b[near]
+        near = sum(np.bitwise_count(words[i, a] ^ words[i, b]).astype(np.int64) for i in range(3)) <= FAR
+        ones.append(a[near])
+        twos.append(b[near])
+
+    end = np.repeat(starts[1:], np.where(sizes <= _SMALL, sizes, 0))
+    at = np.flatnonzero(np.repeat(sizes <= _SMALL, sizes))
+    for step in range(1, _SMALL):  # small buckets, all at once
+        left = at + step < end
+        at, end = at[left], end[left]
+        if not len(at):
+            break
+        take(at, at + step)
+    for i in np.flatnonzero(sizes > _SMALL):
+        s, e = int(starts[i]), int(starts[i + 1])
+        high = max(1, _TILE // (e - s))
+        for a in range(s, e, high):  # bounded memory
+            one = np.bitwise_count(words[0, a : a + high, None] ^ words[0, None, a:e]) <= FAR_ONE
+            x, y = np.nonzero(np.triu(one, 1))
+            take(a + x, a + y)
+    return np.concatenate(ones), np.concatenate(twos)
+
+
+def labelled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least number that each of ``n`` reaches over the pairs."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, cell, fp, u, v, w) sorted by (k, cell) to (k, cell, first, fp): the groups of what is near inside a bucket."""
+    held = None
+    for batch in _ended(batches):
+        if batch is not None:
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
+            held = rows if held is None else np.concatenate((held, rows), axis=1)
+        if held is None or not held.shape[1]:
+            continue
+        new = np.flatnonzero((held[:2, 1:] != held[:2, :-1]).any(axis=0)) + 1
+        starts = np.array([0, *new.tolist(), *([held.shape[1]] if batch is None else [])], np.int64)
+        done, held = held[:, : starts[-1]], None if batch is None else held[:, starts[-1] :].copy()
+        a, b = meeting(starts, done[3:].view(np.uint64))
+        if len(a):
+            label, among = labelled(done.shape[1], a, b), np.unique(np.concatenate((a, b)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (done[0, among], done[1, among], done[2, label[among]], done[2, among])], ["k", "cell", "first", "fp"])
+
+
+def _celled(parts, at: str = "fp"):
+    """The cells of a member: each pair of parts is one, and the member is in those of its part."""
+    part = F.pmod(F.xxhash64(at), parts)
+    return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda j: F.least(part, j) * parts + F.greatest(part, j)))
+
+
+def met(least: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
+    """(k, fp): groups k of sets whose fingerprints share a block and are near, ``least`` being (fp, print, fours) of the distinct sets."""
+    rows = least.where("length(print) > 0").select("fp", "print", "fours").mapInArrow(_cut, "k bigint, fp bigint, u bigint, v bigint, w bigint")
+    large = scratch.save(rows.groupBy("k").count().where(F.col("count") > bucket).select("k", F.ceil(F.col("count") / bucket).alias("parts")), "large")
+    if large.isEmpty():
+        dealt = rows.withColumn("cell", F.lit(0).cast("bigint"))
+    else:
+        dealt = rows.join(large, "k", "left").withColumn("cell", F.explode(_celled(F.coalesce("parts", F.lit(1).cast("bigint")))))
+    dealt = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").select("k", "cell", "fp", "u", "v", "w")
+    found = dealt.mapInArrow(_met, "k bigint, cell bigint, first bigint, fp bigint")
+    return scratch.save(found.select(F.xxhash64("k", "cell", "first").alias("k"), "fp"), "met")
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,9 +220,9 @@ def _swept(like: float):
 def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float = LIKE, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, fp naming its set, and (fp, root, component_id) of every distinct set."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.save(plain.mapInArrow(_sketched(width), "doc_id bigint, fp bigint, keys array<bigint>"), "sketches")
-    least = scratch.save(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")), "distinct")
-    rows = least.select("fp", F.explode("keys").alias("k"))
+    seen = scratch.save(plain.mapInArrow(_sketched(width), "doc_id bigint, fp bigint, print binary, fours array<bigint>"), "sketches")
+    least = scratch.save(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("fours").alias("fours")), "distinct")
+    rows = met(least, scratch, group * BUCKET // GROUP)
     mix = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed)))
     buckets = rows.groupBy("k").agg(F.count("*").alias("n"), mix(1).alias("x"), mix(2).alias("y")).where("n > 1")
     once = scratch.save(buckets.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / group).alias("parts")), "buckets")
@@ -137,9 +231,7 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float =
     ids = scratch.save(least.join(wanted, "fp", "left_semi").select(F.col("first_id").alias("_id")).distinct(), "wanted")
     texts = plain.join(ids, plain["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = scratch.save(texts.mapInArrow(_sets(width), "fp bigint, items binary").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")), "sets")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
-    dealt = members.withColumn("cell", F.explode(F.array_distinct(cells))).join(sets, "fp").select("k", "cell", "fp", "items")
+    dealt = members.withColumn("cell", F.explode(_celled(F.col("parts")))).join(sets, "fp").select("k", "cell", "fp", "items")
     edges = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(_swept(like), "a bigint, b bigint")
     roots = connected_components(edges, scratch)
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

@@ -47,17 +47,26 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, n)
 
 
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """The fingerprint over ``hashes``, 64 bits a word: a bit is 1 if set in over half of them; zeros if there are none.
+
+    The first word is that of the hashes themselves, each further one that of a further hash of them (splitmix64).
+    """
+    counts, steps = np.zeros(64 * words, np.int64), np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # a byte holds the count, and the memory is bounded for very long texts
+        mixed = hashes[at : at + 255, None] + steps
+        if words > 1:
+            more = mixed[:, 1:]
+            more = (more ^ (more >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            more = (more ^ (more >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            mixed[:, 1:] = more ^ (more >> np.uint64(31))
+        counts += np.add.reduce(np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)
+
+
 def simhash(text: str | None, width: int = SHINGLE) -> int:
     """The 64-bit fingerprint over ``shingle_hashes``; 0 if there are none."""
-    hashes = shingle_hashes(text, width)
-    n = len(hashes)
-    if not n:
-        return 0
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):  # bounded memory for very long texts
-        bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    return int(majority(shingle_hashes(text, width))[0])
 
 
 def _hashed(width: int):

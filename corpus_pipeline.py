@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8): that of the smallest doc_id.
+    """One document of each group of near-duplicates (SimHash of five-word shingles, links decided at Jaccard 0.8): that of the smallest doc_id.
 
     Texts without words, null ones among them, are one group. Of repeated rows with the smallest
     id any one stays; a null id counts only where a group has no other. An empty table gives none,
