@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import Scratch
 from batchloom.llm.components import connected_components
-from batchloom.llm.simhash import _ended, first_rows, majority, shingle_hashes
+from batchloom.llm.simhash import first_rows, majority, shingle_hashes
 
 WIDTH, LIKE, GROUP, BUCKET = 5, 0.8, 1024, 4096
 WORDS, BLOCKS, WIDE = 28, 128, 14
@@ -62,21 +62,59 @@ def _sketched(width: int):
     return run
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(fp, print, fours) to a row for each block: its number and bits as k, and the first three words; keys of fours come with zeros, so what shares them is near."""
-    weights = 1 << np.arange(WIDE, dtype=np.int64)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def cut(batch: pa.RecordBatch) -> np.ndarray:
+    """(fp, print, fours) to rows (k, fp, three first words): k is a block's number and bits; keys of fours come with zeros, so what shares them is near."""
+    fp = batch.column(0).to_numpy().view(np.uint64)
+    words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
+    bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").reshape(len(fp), BLOCKS, WIDE)
+    keys = bits @ (1 << np.arange(WIDE, dtype=np.uint64)) + (np.arange(BLOCKS, dtype=np.uint64) << np.uint64(WIDE))
+    further = batch.column(2).to_pylist()
+    more = np.array([(k, f, 0, 0, 0) for f, x in zip(fp.tolist(), further, strict=True) for k in x], np.uint64).reshape(-1, 5)
+    return np.concatenate((np.column_stack((keys.ravel(), np.repeat(fp, BLOCKS), np.repeat(words[:, :3], BLOCKS, axis=0))), more))
+
+
+def celled(rows: np.ndarray, large: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """``rows`` with k of bucket and cell: the members of a ``large`` bucket (sorted) once for each cell, a pair of parts, that theirs is in."""
+    at = np.minimum(np.searchsorted(large, rows[:, 0]), max(0, len(large) - 1))
+    many = np.where(large[at] == rows[:, 0], parts[at], 1).astype(np.int64) if len(large) else np.ones(len(rows), np.int64)
+    row = np.repeat(np.arange(len(rows)), many)
+    many = many[row].astype(np.uint64)
+    other = np.arange(len(row), dtype=np.uint64) - np.searchsorted(row, row).astype(np.uint64)
+    rows = rows[row]
+    own = _mixed(rows[:, 1]) % many
+    rows[:, 0] = _mixed(_mixed(rows[:, 0]) + np.minimum(own, other) * many + np.maximum(own, other))
+    return rows
+
+
+def _dealt(heaps: int, large: np.ndarray, parts: np.ndarray):
+    """(heap, rows): the rows of many sets packed by the heap of their k, so that Spark moves a few long rows."""
+
+    step = max(1, 1024 // int(parts.max(initial=1)))  # bounded memory where a set is in many cells
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                rows = celled(cut(batch.slice(at, step)), large, parts)
+                heap = rows[:, 0] % np.uint64(heaps)
+                order = np.argsort(heap, kind="stable")
+                names, firsts = np.unique(heap[order], return_index=True)
+                ends = np.append(firsts, len(rows)).astype(np.int32) * 40
+                blobs = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(rows[order])])
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), blobs], ["heap", "rows"])
+
+    return run
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            fp = part.column(0).to_numpy()
-            words = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint64).reshape(-1, WORDS)
-            bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").reshape(len(fp), BLOCKS, WIDE)
-            keys = bits @ weights + (np.arange(BLOCKS, dtype=np.int64) << WIDE)
-            further = part.column(2).to_pylist()
-            more = np.array([k for x in further for k in x], np.int64)
-            fps = np.concatenate((np.repeat(fp, BLOCKS), np.repeat(fp, [len(x) for x in further])))
-            first = [np.concatenate((np.repeat(words[:, i], BLOCKS).view(np.int64), np.zeros_like(more))) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate((keys.ravel(), more)), fps, *first)], ["k", "fp", "u", "v", "w"])
+        for at in range(0, batch.num_rows, 1024):
+            yield pa.RecordBatch.from_arrays([pa.array(cut(batch.slice(at, 1024))[:, 0].view(np.int64))], ["k"])
 
 
 def meeting(starts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,41 +160,47 @@ def labelled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             return label
 
 
+def groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, fp) of what is near inside the buckets of ``rows``, k naming bucket and group."""
+    rows = rows[np.argsort(rows[:, 0], kind="stable")]
+    new = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
+    a, b = meeting(np.array([0, *new.tolist(), len(rows)], np.int64), np.ascontiguousarray(rows[:, 2:].T))
+    label, among = labelled(len(rows), a, b), np.unique(np.concatenate((a, b)))
+    return _mixed(rows[among, 0] + _mixed(rows[label[among], 1])), rows[among, 1]
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, cell, fp, u, v, w) sorted by (k, cell) to (k, cell, first, fp): the groups of what is near inside a bucket."""
-    held = None
-    for batch in _ended(batches):
-        if batch is not None:
-            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)])
-            held = rows if held is None else np.concatenate((held, rows), axis=1)
-        if held is None or not held.shape[1]:
-            continue
-        new = np.flatnonzero((held[:2, 1:] != held[:2, :-1]).any(axis=0)) + 1
-        starts = np.array([0, *new.tolist(), *([held.shape[1]] if batch is None else [])], np.int64)
-        done, held = held[:, : starts[-1]], None if batch is None else held[:, starts[-1] :].copy()
-        a, b = meeting(starts, done[3:].view(np.uint64))
-        if len(a):
-            label, among = labelled(done.shape[1], a, b), np.unique(np.concatenate((a, b)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (done[0, among], done[1, among], done[2, label[among]], done[2, among])], ["k", "cell", "first", "fp"])
-
-
-def _celled(parts, at: str = "fp"):
-    """The cells of a member: each pair of parts is one, and the member is in those of its part."""
-    part = F.pmod(F.xxhash64(at), parts)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0).cast("bigint"), parts - 1), lambda j: F.least(part, j) * parts + F.greatest(part, j)))
+    """Rows (heap, rows) sorted by heap to (k, fp)."""
+    name_, held = None, []
+
+    def ended():
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in groups(np.frombuffer(b"".join(held), np.uint64).reshape(-1, 5))], ["k", "fp"])
+
+    for batch in batches:
+        for heap, rows in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if heap != name_:
+                if held:
+                    yield ended()
+                name_, held = heap, []
+            held.append(rows.as_py())
+    if held:
+        yield ended()
 
 
 def met(least: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """(k, fp): groups k of sets whose fingerprints share a block and are near, ``least`` being (fp, print, fours) of the distinct sets."""
-    rows = least.where("length(print) > 0").select("fp", "print", "fours").mapInArrow(_cut, "k bigint, fp bigint, u bigint, v bigint, w bigint")
-    large = scratch.save(rows.groupBy("k").count().where(F.col("count") > bucket).select("k", F.ceil(F.col("count") / bucket).alias("parts")), "large")
-    if large.isEmpty():
-        dealt = rows.withColumn("cell", F.lit(0).cast("bigint"))
-    else:
-        dealt = rows.join(large, "k", "left").withColumn("cell", F.explode(_celled(F.coalesce("parts", F.lit(1).cast("bigint")))))
-    dealt = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").select("k", "cell", "fp", "u", "v", "w")
-    found = dealt.mapInArrow(_met, "k bigint, cell bigint, first bigint, fp bigint")
-    return scratch.save(found.select(F.xxhash64("k", "cell", "first").alias("k"), "fp"), "met")
+    """(k, fp): groups k of sets whose fingerprints share a block and are near, ``least`` being (fp, print, fours) of the distinct sets.
+
+    Buckets over ``bucket`` members are told by a share of the sets; the cells they are cut into
+    cover each pair of parts, so that what is told wrongly is uneven, and not lost.
+    """
+    some = least.where("length(print) > 0").select("fp", "print", "fours")
+    share = max(1, bucket // 64)
+    seen = some.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(_keys, "k bigint").groupBy("k").count().where(F.col("count") * share > bucket)
+    found = seen.orderBy("k").toArrow()  # of at most 2^21 keys of blocks, and those fours that are frequent
+    large, parts = found["k"].to_numpy().view(np.uint64), -(-found["count"].to_numpy() * share // bucket)
+    heaps = max(1, least.count() * BLOCKS * 40 >> 22)  # of 4 MB or so
+    dealt = some.mapInArrow(_dealt(heaps, large, parts), "heap bigint, rows binary").repartition("heap").sortWithinPartitions("heap")
+    return scratch.save(dealt.mapInArrow(_met, "k bigint, fp bigint"), "met")
 
 
 def _sets(width: int):
@@ -231,7 +275,9 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float =
     ids = scratch.save(least.join(wanted, "fp", "left_semi").select(F.col("first_id").alias("_id")).distinct(), "wanted")
     texts = plain.join(ids, plain["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = scratch.save(texts.mapInArrow(_sets(width), "fp bigint, items binary").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")), "sets")
-    dealt = members.withColumn("cell", F.explode(_celled(F.col("parts")))).join(sets, "fp").select("k", "cell", "fp", "items")
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
+    dealt = members.withColumn("cell", F.explode(F.array_distinct(cells))).join(sets, "fp").select("k", "cell", "fp", "items")
     edges = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(_swept(like), "a bigint, b bigint")
     roots = connected_components(edges, scratch)
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

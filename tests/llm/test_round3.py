@@ -78,12 +78,13 @@ def test_pairs_at_the_bound_share_a_block_and_unrelated_ones_are_let_go():
     assert all(len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for a, b in zip(sets[::2], sets[1::2], strict=True))
     prints = pa.array([simhash.majority(x, near_copies.WORDS).tobytes() for x in sets], pa.binary())
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets)), pa.int64()), prints, pa.array([near_copies.fours(x) for x in sets], pa.list_(pa.int64()))], ["fp", "print", "fours"])
-    rows = np.concatenate([np.stack([b.column(i).to_numpy() for i in (0, 0, 1, 2, 3, 4)]) for b in near_copies._cut(iter([batch]))], axis=1)
-    rows[1] = 0
-    rows = rows[:, np.lexsort((rows[2], rows[0]))]
-    cut = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["k", "cell", "fp", "u", "v", "w"])
-    found = {(f, m) for b in near_copies._met(iter([cut.slice(0, 777), cut.slice(777)])) for f, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True) if f != m}
-    assert {(min(p), max(p)) for p in found} == {(i, i + 1) for i in range(0, len(sets), 2)}
+    for large, parts in (([], []), (np.unique(near_copies.cut(batch)[:, 0]), 3)):  # buckets whole, or cut into cells of each pair of three parts
+        large = np.array(large, np.uint64)
+        rows = near_copies.celled(near_copies.cut(batch), large, np.full(len(large), parts or 1))
+        found = {}
+        for k, fp in zip(*near_copies.groups(rows), strict=True):
+            found.setdefault(int(k), set()).add(int(fp))
+        assert {tuple(sorted(x)) for x in found.values()} == {(i, i + 1) for i in range(0, len(sets), 2)}
 
 
 def test_buckets_of_any_size_give_the_same_pairs():
