@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,20 @@ def given_back(names: dict[str, str], own: tuple[str, ...] = ()) -> list[Column]
     return [F.col(n).alias(f"input_{c}" if c in own else c) for c, n in names.items()]
 
 
+def tidied(run):
+    """``run`` for mapInArrow; what a task freed goes back to the system at its end, since the worker lives on beside those of later stages."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # glibc only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 @contextlib.contextmanager
 def setting(spark: SparkSession, name: str, value: str):
     """A setting of the session for what runs inside."""

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import Scratch
+from batchloom.llm.common import Scratch, tidied
 from batchloom.llm.components import connected_components
 from batchloom.llm.simhash import first_rows, majority, shingle_hashes
 
@@ -195,12 +195,12 @@ def met(least: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     """
     some = least.where("length(print) > 0").select("fp", "print", "fours")
     share = max(1, bucket // 64)
-    seen = some.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(_keys, "k bigint").groupBy("k").count().where(F.col("count") * share > bucket)
+    seen = some.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0).mapInArrow(tidied(_keys), "k bigint").groupBy("k").count().where(F.col("count") * share > bucket)
     found = seen.orderBy("k").toArrow()  # of at most 2^21 keys of blocks, and those fours that are frequent
     large, parts = found["k"].to_numpy().view(np.uint64), -(-found["count"].to_numpy() * share // bucket)
     heaps = max(1, least.count() * BLOCKS * 40 >> 22)  # of 4 MB or so
-    dealt = some.mapInArrow(_dealt(heaps, large, parts), "heap bigint, rows binary").repartition("heap").sortWithinPartitions("heap")
-    return scratch.save(dealt.mapInArrow(_met, "k bigint, fp bigint"), "met")
+    dealt = some.mapInArrow(tidied(_dealt(heaps, large, parts)), "heap bigint, rows binary").repartition("heap").sortWithinPartitions("heap")
+    return scratch.save(dealt.mapInArrow(tidied(_met), "k bigint, fp bigint"), "met")
 
 
 def _sets(width: int):
@@ -264,7 +264,7 @@ def _swept(like: float):
 def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float = LIKE, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, fp naming its set, and (fp, root, component_id) of every distinct set."""
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = scratch.save(plain.mapInArrow(_sketched(width), "doc_id bigint, fp bigint, print binary, fours array<bigint>"), "sketches")
+    seen = scratch.save(plain.mapInArrow(tidied(_sketched(width)), "doc_id bigint, fp bigint, print binary, fours array<bigint>"), "sketches")
     least = scratch.save(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("fours").alias("fours")), "distinct")
     rows = met(least, scratch, group * BUCKET // GROUP)
     mix = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed)))
@@ -274,11 +274,11 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float =
     wanted = members.select("fp").distinct()
     ids = scratch.save(least.join(wanted, "fp", "left_semi").select(F.col("first_id").alias("_id")).distinct(), "wanted")
     texts = plain.join(ids, plain["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
-    sets = scratch.save(texts.mapInArrow(_sets(width), "fp bigint, items binary").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")), "sets")
+    sets = scratch.save(texts.mapInArrow(tidied(_sets(width)), "fp bigint, items binary").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")), "sets")
     part = F.pmod(F.xxhash64("fp"), F.col("parts"))
     cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
     dealt = members.withColumn("cell", F.explode(F.array_distinct(cells))).join(sets, "fp").select("k", "cell", "fp", "items")
-    edges = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(_swept(like), "a bigint, b bigint")
+    edges = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(tidied(_swept(like)), "a bigint, b bigint")
     roots = connected_components(edges, scratch)
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
