@@ -6,12 +6,14 @@ Two texts of Jaccard ``LIKE`` or more differ in some 15% of the bits of their Si
 block with a chance of (1 - 0.152)^WIDE, and in none with one of 1.4 in a million. Sets of four
 and five shingles, whose bits differ more often, meet under each four of their shingles too, which
 loses none. Of those that meet, what differs in over ``FAR`` of the first 192 bits is let go (six
-deviations above the mean of a pair at ``LIKE``, and five below that of unrelated texts). Every link is then decided
-on the whole sets of shingles.
-
-Only distinct sets are compared. Groups with the same members are swept once; a sweep links a
-member to the first that reaches it and never lists all pairs. Groups over their bound are
-split into cells that cover each pair of parts, so none has to fit into one task.
+deviations above the mean of a pair at ``LIKE``, and five below that of unrelated texts). That still
+lets pairs of some 0.4 pass, so what a heap of blocks unites is told apart on all bits, at seven
+deviations. Every link is then decided on the whole sets of shingles.
+
+Only distinct sets are compared. The shingles are moved once all bits are read, when each set is in
+one group alone, however many blocks it shares; a sweep links a member to the first that reaches it
+and never lists all pairs. Groups over their bound are split into cells that cover each pair of
+parts, so none has to fit into one task.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.common import Scratch, tidied
+from batchloom.llm.common import Scratch, setting, tidied
 from batchloom.llm.components import connected_components
 from batchloom.llm.simhash import first_rows, majority, shingle_hashes
 
@@ -33,6 +35,9 @@ WIDTH, LIKE, GROUP, BUCKET = 5, 0.8, 1024, 4096
 WORDS, BLOCKS, WIDE = 28, 128, 14
 #: Differing bits of the first word, and of the first three, beyond which a pair is let go.
 FAR_ONE, FAR = 27, 60
+#: Differing bits of all words beyond which it is let go: seven deviations above the mean of a pair at ``LIKE``, which is
+#: 0.1875 of the bits for four shingles in five and at most 0.1611 (12 in 15) where both sets are larger.
+FAR_FEW, FAR_ALL = 452, 400
 _EDGE, _SMALL, _TILE = 1e-9, 64, 1 << 18
 
 
@@ -161,12 +166,13 @@ def labelled(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(k, fp) of what is near inside the buckets of ``rows``, k naming bucket and group."""
+    """(k, fp) of what is near inside the buckets of ``rows``, united over the buckets: k is the least fp that fp reaches."""
     rows = rows[np.argsort(rows[:, 0], kind="stable")]
     new = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
     a, b = meeting(np.array([0, *new.tolist(), len(rows)], np.int64), np.ascontiguousarray(rows[:, 2:].T))
-    label, among = labelled(len(rows), a, b), np.unique(np.concatenate((a, b)))
-    return _mixed(rows[among, 0] + _mixed(rows[label[among], 1])), rows[among, 1]
+    names, at = np.unique(rows[:, 1], return_inverse=True)
+    label, among = labelled(len(names), at[a], at[b]), np.unique(np.concatenate((at[a], at[b])))
+    return names[label[among]], names[among]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,9 +194,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def met(least: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
-    """(k, fp): groups k of sets whose fingerprints share a block and are near, ``least`` being (fp, print, fours) of the distinct sets.
+    """(k, fp): groups of sets whose fingerprints share a block and are near, each named by its least, ``least`` being (fp, print, fours) of the distinct sets.
 
-    Buckets over ``bucket`` members are told by a share of the sets; the cells they are cut into
+    Two sets that meet are together in a group; a set is in one a heap at most, and heaps find the
+    same groups again, which are one by their name. Buckets over ``bucket`` members are told by a share of the sets; the cells they are cut into
     cover each pair of parts, so that what is told wrongly is uneven, and not lost.
     """
     some = least.where("length(print) > 0").select("fp", "print", "fours")
@@ -200,7 +207,54 @@ def met(least: DataFrame, scratch: Scratch, bucket: int = BUCKET) -> DataFrame:
     large, parts = found["k"].to_numpy().view(np.uint64), -(-found["count"].to_numpy() * share // bucket)
     heaps = max(1, least.count() * BLOCKS * 40 >> 22)  # of 4 MB or so
     dealt = some.mapInArrow(tidied(_dealt(heaps, large, parts)), "heap bigint, rows binary").repartition("heap").sortWithinPartitions("heap")
-    return scratch.save(dealt.mapInArrow(tidied(_met), "k bigint, fp bigint"), "met")
+    return scratch.save(dealt.mapInArrow(tidied(_met), "k bigint, fp bigint").distinct(), "met")
+
+
+def near(prints: np.ndarray, few: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of ``prints`` (``WORDS`` columns) that differ in few enough of all bits; ``few``: sets of four or five shingles."""
+    ones, twos, columns = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.ascontiguousarray(prints.T)
+    high = max(1, _TILE // max(1, len(prints)))
+    for a in range(0, len(prints), high):  # bounded memory
+        differ = sum(np.bitwise_count(x[a : a + high, None] ^ x[None, a:]).astype(np.uint16) for x in columns)
+        close = differ <= np.where(few[a : a + high, None] | few[None, a:], FAR_FEW, FAR_ALL)
+        x, y = np.nonzero(np.triu(close, 1))
+        ones.append(a + x)
+        twos.append(a + y)
+    return np.concatenate(ones), np.concatenate(twos)
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, cell, fp, print, few) sorted by k and cell to edges (a, b) that connect what is near on all bits."""
+    for names, prints, few in _grouped(batches):
+        names, few = np.array(names, np.int64), np.array(few, bool)
+        label = labelled(len(names), *near(np.frombuffer(b"".join(prints), np.uint64).reshape(-1, WORDS), few))
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(names[label[moved]]), pa.array(names[moved])], ["a", "b"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, ...]]:
+    """The further columns of rows (k, cell, ...) sorted by both, for each (k, cell) of several rows."""
+    key, held = None, None
+    for batch in batches:
+        # long values one by one, not a second copy of the batch
+        for k, cell, *row in zip(*[(v.as_py() for v in x) if pa.types.is_binary(x.type) else x.to_pylist() for x in batch.columns], strict=True):
+            if (k, cell) != key:
+                if held and len(held[0]) > 1:
+                    yield held
+                key, held = (k, cell), tuple([] for _ in row)
+            for x, value in zip(held, row, strict=True):
+                x.append(value)
+    if held and len(held[0]) > 1:
+        yield held
+
+
+def in_cells(members: DataFrame, group: int) -> DataFrame:
+    """(k, cell, fp) of ``members`` (k, fp): those of a group over ``group`` members once for each cell, a pair of parts, that theirs is in."""
+    parts = members.groupBy("k").agg(F.ceil(F.count("*") / group).alias("parts"))
+    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
+    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
+    return members.join(parts, "k").withColumn("cell", F.explode(F.array_distinct(cells))).select("k", "cell", "fp")
 
 
 def _sets(width: int):
@@ -241,22 +295,9 @@ def sweep(prints: list[int], sets: list[np.ndarray], like: float = LIKE) -> list
 
 def _swept(like: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, prints, sets = None, [], []
-
-        def ended():
-            pairs = np.array(sweep(prints, sets, like) if len(prints) > 1 else [], np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            for k, cell, fp, items in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3), strict=True):
-                if (k, cell) != key:
-                    if len(prints) > 1:
-                        yield ended()
-                    key, prints, sets = (k, cell), [], []
-                prints.append(fp)
-                sets.append(np.frombuffer(items.as_py(), np.uint64))
-        if len(prints) > 1:
-            yield ended()
+        for prints, items in _grouped(batches):
+            pairs = np.array(sweep(prints, [np.frombuffer(x, np.uint64) for x in items], like), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -267,17 +308,14 @@ def grouped(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float =
     seen = scratch.save(plain.mapInArrow(tidied(_sketched(width)), "doc_id bigint, fp bigint, print binary, fours array<bigint>"), "sketches")
     least = scratch.save(seen.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("print").alias("print"), F.first("fours").alias("fours")), "distinct")
     rows = met(least, scratch, group * BUCKET // GROUP)
-    mix = lambda seed: F.bit_xor(F.xxhash64("fp", F.lit(seed)))
-    buckets = rows.groupBy("k").agg(F.count("*").alias("n"), mix(1).alias("x"), mix(2).alias("y")).where("n > 1")
-    once = scratch.save(buckets.groupBy("n", "x", "y").agg(F.min("k").alias("k")).select("k", F.ceil(F.col("n") / group).alias("parts")), "buckets")
-    members = scratch.save(rows.join(once, "k").select("k", "parts", "fp"), "members")
-    wanted = members.select("fp").distinct()
+    told = in_cells(rows, group).join(least.select("fp", "print", (F.size("fours") > 0).alias("few")), "fp").select("k", "cell", "fp", "print", "few")
+    close = told.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(tidied(_told), "a bigint, b bigint")
+    members = connected_components(close, scratch).select(F.col("root").alias("k"), F.col("node").alias("fp"))
+    wanted = members.select("fp")
     ids = scratch.save(least.join(wanted, "fp", "left_semi").select(F.col("first_id").alias("_id")).distinct(), "wanted")
     texts = plain.join(ids, plain["doc_id"].eqNullSafe(ids["_id"]), "left_semi").select("text")
     sets = scratch.save(texts.mapInArrow(tidied(_sets(width)), "fp bigint, items binary").join(wanted, "fp", "left_semi").groupBy("fp").agg(F.first("items").alias("items")), "sets")
-    part = F.pmod(F.xxhash64("fp"), F.col("parts"))
-    cells = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1), lambda j: F.least(part, j) * F.col("parts") + F.greatest(part, j))
-    dealt = members.withColumn("cell", F.explode(F.array_distinct(cells))).join(sets, "fp").select("k", "cell", "fp", "items")
+    dealt = in_cells(members, group).join(sets, "fp").select("k", "cell", "fp", "items")
     edges = dealt.repartition("k", "cell").sortWithinPartitions("k", "cell").mapInArrow(tidied(_swept(like)), "a bigint, b bigint")
     roots = connected_components(edges, scratch)
     placed = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
@@ -292,5 +330,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, width: int = WIDTH, like: float
     one group. Of several rows with the smallest id (or of a group in which all ids are null) any
     one stays.
     """
-    prints, names = grouped(docs, scratch, width, like)
-    return first_rows(docs, scratch, prints, names, lambda text: name(shingles(text, width)))
+    # shuffle files go with the table they are for: those of the blocks are the most that this stage has on disk
+    with setting(scratch.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        prints, names = grouped(docs, scratch, width, like)
+        return first_rows(docs, scratch, prints, names, lambda text: name(shingles(text, width)))

@@ -25,6 +25,8 @@ from batchloom.llm.common import Scratch
 from batchloom.llm.components import connected_components
 
 SHINGLE, SEED, BITS, GROUP = 4, 42, 4, 1024
+#: Ids of dropped rows that are broadcast at most; more are joined by a shuffle of the rows.
+GONE = 2_000_000
 #: (first bit, width) of the blocks.
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
 #: The blocks of the bits that a pair of blocks leaves (44 at most).
@@ -202,10 +204,13 @@ def keep_one(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, bits: int
 
 def first_rows(docs: DataFrame, scratch: Scratch, prints: DataFrame, names: DataFrame, key: Callable[[str | None], int]) -> DataFrame:
     """One row of each group: ``prints`` and ``names`` as from ``grouped``, ``key`` gives a text's fp."""
-    first = prints.join(names, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    counted = scratch.save(first.groupBy("root").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")), "kept")
-    if counted.where("n > 1 OR doc_id IS NULL").isEmpty():
-        return docs.join(counted.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    rows = prints.join(names, "fp").withColumn("first", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    counted = scratch.save(rows.where("first").groupBy("root").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id")), "kept")
+    gone = scratch.save(rows.where("NOT first").select("doc_id").distinct(), "gone")
+    alone = counted.where("n > 1 OR doc_id IS NULL").isEmpty() and gone.where("doc_id IS NULL").isEmpty()
+    if alone and gone.join(counted, "doc_id", "left_semi").isEmpty():
+        # mostly few are gone, and so the texts stay where they are
+        return docs.join(F.broadcast(gone) if gone.count() <= GONE else gone, "doc_id", "left_anti").select(*docs.columns)
     # ids repeat: the fingerprint, and no longer the id, tells a group's rows apart
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     text, doc_id = (f"c{docs.columns.index(c)}" for c in ("text", "doc_id"))
