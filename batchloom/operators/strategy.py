@@ -9,12 +9,13 @@ from __future__ import annotations
 import math
 import warnings
 from abc import ABC, abstractmethod
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from batchloom.functions.rng import hash_hex, hash_u60, hash_unit
-from batchloom.plans.ordinal import place, rank_by_hash, running_sum, with_ordinal
+from batchloom.plans.ordinal import looked_up, place, rank_by_hash, running_sum, with_ordinal
 
 #: Mass of a class in integer units; bits of all rows' masses together, far below 60 so that u % mass is fair.
 SCALE, MASS_BITS = 1 << 40, 50
@@ -154,20 +155,20 @@ class Weighted(Strategy):
             side = self.weights.select("_idx", F.col(names[0]).cast("double").alias("_w"))
             rows = self.selected(base).select("_idx")
             out = rows.join(side, "_idx", "left")
-            if out.where(F.col("_w").isNull()).limit(1).count():
-                raise ValueError("weights do not cover all selected rows")
         else:
             w = F.lit(1.0) if self.weights is None else F.col(self.weights) if isinstance(self.weights, str) else self.weights
             out = self.selected(base.withColumn("_w", w.cast("double"))).select("_idx", "_w")
         odd = F.col("_w").isNull() | F.isnan("_w") | F.col("_w").isin(float("inf"), float("-inf"))
-        stats = out.agg(F.min("_w").alias("least"), F.max("_w").alias("most"), F.count("*").alias("n"), F.sum(odd.cast("int")).alias("odd")).first()
+        stats = out.agg(F.min("_w").alias("least"), F.max("_w").alias("most"), F.count("*").alias("n"), F.count("_w").alias("held"), F.sum(odd.cast("int")).alias("odd"), F.max("_idx").alias("last")).first()
+        if isinstance(self.weights, DataFrame) and stats["held"] < stats["n"]:
+            raise ValueError("weights do not cover all selected rows")
         if stats["odd"]:
             raise ValueError("weights must be finite numbers")
         if stats["least"] is not None and stats["least"] < 0:
             raise ValueError("weights must not be negative")
         if not stats["most"]:
             raise ValueError("weights must not sum to zero")
-        self._most, self._rows = stats["most"], stats["n"]
+        self._most, self._rows, self._last = stats["most"], stats["n"], stats["last"]
         return out
 
     def masses(self, base: DataFrame) -> DataFrame:
@@ -181,28 +182,41 @@ class Weighted(Strategy):
         return rows.where("_w > 0").select("_idx", F.greatest(F.floor(F.col("_w") / F.lit(self._most) * unit), F.lit(1)).cast("bigint").alias("_m"))
 
     def draws(self, base: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
-        """(_idx, _draw) of ``total`` draws with replacement by an integer CDF.
+        """(_idx, _draw) of ``total`` draws with replacement by an integer CDF."""
+        return self._drawn(base, total, seed, epoch).select("_idx", "_draw")
+
+    def _drawn(self, base: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
+        """``draws`` with _s, their rank by _idx (draws of one row are alike).
 
         The CDF is cut into ranges at every so many rows and at every so much mass: none has more
         than its share of rows or of draws, whatever the weights. Inside a range a window carries
-        the row a draw falls on to it. A row that spans several ranges stands in each.
+        the row a draw falls on to it. A row that spans several ranges stands in each. The rows'
+        own order cuts them, so they are not ranked again, and ranges of the CDF are in their order
+        too, so neither are the draws: the masses are read twice, once for the sums.
         """
-        rows = with_ordinal(self.masses(base), "_idx", name="_s")
-        cdf = running_sum(rows, "_s", "_m", "_lo", self._rows)
-        size = cdf.agg(F.sum("_m").alias("mass"), F.count("*").alias("n")).first()
         parts = max(2, int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        every = max(1, -(-size["n"] // parts))
-        at_rows = [r["_lo"] for r in cdf.where(F.col("_s") % every == 0).select("_lo").collect()]  # ``parts`` at most
-        cuts = sorted({0, *at_rows, *(size["mass"] * k // parts for k in range(parts))})
-        long = lambda x: F.lit(x).cast("bigint")
-        range_of = lambda u: place(u, cuts, long)
+        masses = self.masses(base)
+        if self.indices is not None:
+            masses = masses.groupBy("_idx").agg(F.sum("_m").alias("_m"))  # a row that is selected often is one step of the CDF
+        width = self._last // parts + 1
+        ranged = masses.withColumn("_range", F.floor(F.col("_idx") / F.lit(width)).cast("int"))
+        sums = {r["_range"]: r["m"] for r in ranged.groupBy("_range").agg(F.sum("_m").alias("m")).collect()}  # ``parts`` at most
+        starts = list(accumulate((sums.get(i, 0) for i in range(parts)), initial=0))
+        mass = starts[-1]
+        inside = F.sum("_m").over(Window.partitionBy("_range").orderBy("_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        cdf = ranged.withColumn("_lo", inside - F.col("_m") + looked_up(starts, F.col("_range")))
+        cuts = sorted({*starts[:-1], *(mass * k // parts for k in range(parts))})
+        range_of = lambda u: place(u, cuts, lambda x: F.lit(x).cast("bigint"))
         spans = cdf.select("_idx", "_lo", F.explode(F.sequence(range_of(F.col("_lo")), range_of(F.col("_lo") + F.col("_m") - 1))).alias("_bk"))
         spans = spans.select("_bk", F.col("_lo").alias("_u"), "_idx", F.lit(None).cast("bigint").alias("_draw"))
-        thrown = base.sparkSession.range(total).select(F.col("id").alias("_draw"), (hash_u60(seed, epoch, "w", "id") % size["mass"]).alias("_u"))
+        thrown = base.sparkSession.range(total).select(F.col("id").alias("_draw"), (hash_u60(seed, epoch, "w", "id") % mass).alias("_u"))
         thrown = thrown.select(range_of(F.col("_u")).alias("_bk"), "_u", F.lit(None).cast("bigint").alias("_idx"), "_draw")
-        carried = F.last("_idx", ignorenulls=True).over(Window.partitionBy("_bk").orderBy("_u", F.col("_draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        held = {r["_bk"]: r["count"] for r in thrown.groupBy("_bk").count().collect()}  # one row a range
+        before = list(accumulate((held.get(i, 0) for i in range(len(cuts) + 1)), initial=0))
+        so_far = Window.partitionBy("_bk").orderBy("_u", F.col("_draw").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         both = spans.withColumn("_idx", F.col("_idx").cast("bigint")).unionByName(thrown)
-        return both.withColumn("_idx", carried).where(F.col("_draw").isNotNull()).select("_idx", "_draw")
+        both = both.select("_bk", "_draw", F.last("_idx", ignorenulls=True).over(so_far).alias("_idx"), (F.count("_draw").over(so_far) - 1).alias("_s"))
+        return both.where(F.col("_draw").isNotNull()).select("_idx", "_draw", (F.col("_s") + looked_up(before, F.col("_bk"))).alias("_s"))
 
     def rounds(self, base: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
         """(_idx, _draw) of rounds without replacement: the least keys -ln(u)/w of each round.
@@ -239,9 +253,11 @@ class Weighted(Strategy):
 
     def plan(self, base, seed=0, epoch=0):
         total = self.length(base)
-        drawn = self.draws(base, total, seed, epoch) if self.replace else self.rounds(base, total, seed, epoch)
-        rows = with_ordinal(drawn, "_idx", "_draw", name="_s").select("_idx", "_s")
-        return block_order(rows, total, self.block_size, seed, epoch)
+        if self.replace:
+            rows = self._drawn(base, total, seed, epoch)
+        else:
+            rows = with_ordinal(self.rounds(base, total, seed, epoch), "_idx", "_draw", name="_s", n=total)
+        return block_order(rows.select("_idx", "_s"), total, self.block_size, seed, epoch)
 
 
 class ClassBalanced(Weighted):
@@ -296,6 +312,9 @@ class ClassBalanced(Weighted):
         wanted = thrown.select("_draw", (of(starts) + F.col("_v") % of([r["_n"] for r in classes])).alias("_row"))
         return wanted.join(with_ordinal(chosen, "_g", "_idx", name="_row").select("_idx", "_row"), "_row").select("_idx", "_draw")
 
+    def _drawn(self, base, total, seed, epoch):
+        return with_ordinal(self.draws(base, total, seed, epoch), "_idx", "_draw", name="_s", n=total)
+
     def _of_many(self, base: DataFrame, chosen: DataFrame, sizes: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
         """The same draws from a table of classes: each class is a row of the CDF, each of its rows an equal share."""
         ranked = with_ordinal(sizes, "_g", name="_c")

@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegralType, StringType
+
+#: Combinations of labels up to which their weights are a table in the plan.
+FEW = 10_000
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -34,6 +38,11 @@ def combination_weights(df: DataFrame, *labels: str, baseline: float = 1000.0) -
     # n / K falls out of the scaling: weight = raw * n / sum(count * raw)
     sums = raw.agg(F.sum("_n").alias("_all"), F.sum(F.col("_n") * F.col("_raw")).alias("_mass"))
     scaled = raw.crossJoin(F.broadcast(sums)).select(*[f"_{c}" for c in labels], (F.col("_raw") * F.col("_all") / F.col("_mass")).alias("weight"))  # one row
+    if all(isinstance(df.schema[c].dataType, (StringType, IntegralType, BooleanType)) for c in labels):
+        # a table of few combinations is made once: it neither moves the rows nor counts them anew with each use
+        few = scaled.limit(FEW + 1).collect()
+        if len(few) <= FEW:
+            scaled = F.broadcast(df.sparkSession.createDataFrame(few, scaled.schema))
     on = None
     for c in labels:
         same = df[c].eqNullSafe(scaled[f"_{c}"])
