@@ -48,3 +48,49 @@ def test_whole_numbers_without_a_gap_are_not_moved(spark, monkeypatch, odd):
     found = got.orderBy("_idx").collect()
     keys = [r["k"] for r in found]
     assert [r["_idx"] for r in found] == list(range(len(found))) and keys == sorted(keys, key=lambda x: -1e9 if x is None else x)
+
+
+@pytest.mark.parametrize("kind", ["all", "repeated ids", "weights aside"])
+def test_weighted_plan_reads_its_rows_once(spark, kind):
+    b = rows(spark).withColumn("w", 1.0 + F.col("_idx") % 5)
+    some = spark.range(0, N, 3).select(F.col("id").alias("_idx"))
+    s = {
+        "all": lambda: Weighted(8, weights="w"),
+        "repeated ids": lambda: Weighted(8, some.union(some.where("_idx < 900")), weights="w"),
+        "weights aside": lambda: Weighted(8, some, weights=some.withColumn("w", 1.0 + F.col("_idx") % 5)),
+    }[kind]()
+    got = s.plan(b, 3)
+    assert reads(got) == 1
+    found = got.orderBy("_pos").collect()
+    assert [r["_pos"] for r in found] == list(range(s.length(b)))
+    drawn = sorted(r["_idx"] for r in s.draws(b, s.length(b), 3, 0).collect())
+    assert sorted(r["_idx"] for r in found) == drawn and (kind == "all" or all(i % 3 == 0 for i in drawn))
+    ranks = sorted((r["_s"], r["_idx"]) for r in s._drawn(b, s.length(b), 3, 0).collect())
+    assert [i for _, i in ranks] == drawn and [k for k, _ in ranks] == list(range(len(drawn)))
+
+
+def jobs(spark, plan):
+    """Spark jobs that ``plan`` runs before it is executed."""
+    spark.sparkContext.setJobGroup(str(id(plan)), "counted")
+    try:
+        plan()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(id(plan))))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_few_draws_are_planned_in_few_passes(spark, monkeypatch):
+    monkeypatch.setattr("batchloom.plans.ordinal.SMALL", 100)
+    monkeypatch.setattr("batchloom.operators.strategy.SMALL", 100, raising=False)
+    b = rows(spark).withColumn("w", 1.0 + F.col("_idx") % 5)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else a job a stage
+    try:
+        assert jobs(spark, lambda: Weighted(8, weights="w", total_size=77).plan(b, 3)) <= 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_weights_that_miss_a_row_are_refused(spark):
+    b = rows(spark)
+    with pytest.raises(ValueError, match="cover"):
+        Weighted(8, [1, 2, 3], weights=b.where("_idx < 3").withColumn("w", F.lit(1.0))).plan(b)
