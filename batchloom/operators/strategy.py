@@ -21,6 +21,8 @@ from batchloom.plans.ordinal import looked_up, place, rank_by_hash, running_sum,
 SCALE, MASS_BITS = 1 << 40, 50
 #: Distinct weights or classes that are looked up in a literal table; more go through a join.
 LITERAL_GROUPS = 256
+#: Draws of one row that are listed at a time.
+PIECE = 1 << 16
 
 
 def as_indices(spark: SparkSession, indices, *, stacklevel: int = 3) -> DataFrame | None:
@@ -284,6 +286,26 @@ class ClassBalanced(Weighted):
         return rows
 
     def draws(self, base, total, seed, epoch):
+        wanted, rows = self._wanted(base, total, seed, epoch)
+        return wanted.join(rows, "_row").select("_idx", "_draw")
+
+    def _drawn(self, base, total, seed, epoch):
+        """(_idx, _s) of the draws: they are counted by row, and a row stands as often as it was drawn.
+
+        Draws of one row are alike, so they need no order among themselves, and a row that is drawn
+        very often is one row until it is listed, in pieces.
+        """
+        wanted, rows = self._wanted(base, total, seed, epoch)
+        often = wanted.groupBy("_row").agg(F.count("*").alias("_c")).join(rows, "_row").select("_idx", "_c")
+        if self.indices is not None:
+            often = often.groupBy("_idx").agg(F.sum("_c").alias("_c"))  # a row that is selected often is one row
+        placed = running_sum(often, "_idx", "_c", "_first", base.count())
+        pieces = placed.select("_idx", "_first", "_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_c") - 1, F.lit(PIECE).cast("bigint"))).alias("_from"))
+        listed = pieces.select("_idx", "_first", F.explode(F.sequence("_from", F.least(F.col("_from") + PIECE, "_c") - 1)).alias("_k"))
+        return listed.select("_idx", (F.col("_first") + F.col("_k")).alias("_s"))
+
+    def _wanted(self, base: DataFrame, total: int, seed: int, epoch: int) -> tuple[DataFrame, DataFrame]:
+        """(_draw, _row) of the draws and (_row, _idx): the labelled rows in the order of class and _idx."""
         chosen = self.selected(base).where(F.col(self.label).isNotNull()).select("_idx", F.col(self.label).alias("_g"))
         sizes = chosen.groupBy("_g").agg(F.count("*").alias("_n"))
         if self.scope == "global":
@@ -310,13 +332,10 @@ class ClassBalanced(Weighted):
         thrown = thrown.withColumn("_c", F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e <= u)) + 1)
         of = lambda xs: F.element_at(F.array(*[F.lit(x).cast("bigint") for x in xs]), F.col("_c"))
         wanted = thrown.select("_draw", (of(starts) + F.col("_v") % of([r["_n"] for r in classes])).alias("_row"))
-        return wanted.join(with_ordinal(chosen, "_g", "_idx", name="_row").select("_idx", "_row"), "_row").select("_idx", "_draw")
-
-    def _drawn(self, base, total, seed, epoch):
-        return with_ordinal(self.draws(base, total, seed, epoch), "_idx", "_draw", name="_s", n=total)
+        return wanted, with_ordinal(chosen, "_g", "_idx", name="_row", n=seen).select("_idx", "_row")
 
-    def _of_many(self, base: DataFrame, chosen: DataFrame, sizes: DataFrame, total: int, seed: int, epoch: int) -> DataFrame:
-        """The same draws from a table of classes: each class is a row of the CDF, each of its rows an equal share."""
+    def _of_many(self, base: DataFrame, chosen: DataFrame, sizes: DataFrame, total: int, seed: int, epoch: int) -> tuple[DataFrame, DataFrame]:
+        """The same from a table of classes: each class is a row of the CDF, each of its rows an equal share."""
         ranked = with_ordinal(sizes, "_g", name="_c")
         n = ranked.count()
         table = running_sum(running_sum(ranked, "_c", "_m", "_lo", n), "_c", "_n", "_first", n)
@@ -326,4 +345,4 @@ class ClassBalanced(Weighted):
         thrown = base.sparkSession.range(total).select(F.col("id").alias("_draw"), (hash_u60(seed, epoch, "g", "id") % mass).alias("_u"), hash_u60(seed, epoch, "m", "id").alias("_v"))
         hit = thrown.withColumn("_bk", F.floor(F.col("_u") / F.lit(width))).join(cut, "_bk").where((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_lo") + F.col("_m")))
         wanted = hit.select("_draw", (F.col("_first") + F.col("_v") % F.col("_n")).alias("_row"))
-        return wanted.join(with_ordinal(chosen, "_g", "_idx", name="_row").select("_idx", "_row"), "_row").select("_idx", "_draw")
+        return wanted, with_ordinal(chosen, "_g", "_idx", name="_row").select("_idx", "_row")

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators.strategy import Weighted
+from batchloom.operators.strategy import ClassBalanced, Weighted
 from batchloom.operators.weights import combination_weights
 from batchloom.plans.ordinal import with_ordinal
 
@@ -94,3 +94,22 @@ def test_weights_that_miss_a_row_are_refused(spark):
     b = rows(spark)
     with pytest.raises(ValueError, match="cover"):
         Weighted(8, [1, 2, 3], weights=b.where("_idx < 3").withColumn("w", F.lit(1.0))).plan(b)
+
+
+@pytest.mark.parametrize("kind", ["local", "global", "many classes", "a row drawn very often"])
+def test_class_balanced_plan_counts_draws_by_row(spark, monkeypatch, kind):
+    monkeypatch.setattr("batchloom.plans.ordinal.SMALL", 100)
+    monkeypatch.setattr("batchloom.operators.strategy.PIECE", 64, raising=False)
+    if kind == "many classes":
+        monkeypatch.setattr("batchloom.operators.strategy.LITERAL_GROUPS", 3)
+    one = F.col("_idx") == 5
+    g = F.when(one, 9).otherwise(0) if kind == "a row drawn very often" else F.when(F.col("_idx") % 10 > 0, F.col("_idx") % 4)
+    b = rows(spark).withColumn("g", g)
+    some = spark.range(0, N, 3).union(spark.range(0, 90)).select(F.col("id").alias("_idx"))
+    s = ClassBalanced("g", 8, some if kind == "global" else None, 2000, scope="global" if kind == "global" else "local")
+    got = s.plan(b, 3)
+    assert kind == "many classes" or reads(got) <= 2  # the second is the same exchange
+    drawn = sorted(r["_idx"] for r in s.draws(b, 2000, 3, 0).collect())
+    assert [k for k, _ in sorted((r["_pos"], r["_idx"]) for r in got.collect())] == list(range(2000))
+    assert [tuple(r) for r in s._drawn(b, 2000, 3, 0).select("_s", "_idx").orderBy("_s").collect()] == list(enumerate(drawn))
+    assert kind != "a row drawn very often" or 900 < drawn.count(5) < 1100
