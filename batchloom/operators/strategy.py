@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import warnings
 from abc import ABC, abstractmethod
+from collections import Counter
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +22,8 @@ from batchloom.plans.ordinal import looked_up, place, rank_by_hash, running_sum,
 SCALE, MASS_BITS = 1 << 40, 50
 #: Distinct weights or classes that are looked up in a literal table; more go through a join.
 LITERAL_GROUPS = 256
+#: Expected candidates of all rounds of draws up to which they are found once and held in the plan.
+FEW_PICKED = 200_000
 #: Draws of one row that are listed at a time.
 PIECE = 1 << 16
 
@@ -228,13 +231,13 @@ class Weighted(Strategy):
         """
         rows = self.weighted(base).where("_w > 0")
         k = min(self.sampling_size, total) if total else 0
-        if rows.limit(k).count() < k:
-            raise ValueError("fewer rows of positive weight than a round draws")
         n_rounds = -(-total // self.sampling_size)
         if not n_rounds:
             return rows.select("_idx", F.lit(0).cast("bigint").alias("_draw")).limit(0)
         level = F.floor(F.log2("_w")).cast("int")
         levels = [(2.0 ** r["level"], r["count"]) for r in rows.groupBy(level.alias("level")).count().collect()]  # one row a doubling
+        if sum(c for _, c in levels) < k:
+            raise ValueError("fewer rows of positive weight than a round draws")
         wanted = k + 8 * math.sqrt(k) + 32
         bound = 2.0**-60
         while sum(c * -math.expm1(-w * bound) for w, c in levels) < wanted and bound < 2.0**1000:
@@ -247,7 +250,13 @@ class Weighted(Strategy):
         while True:
             some = keyed if every else F.filter(keyed, lambda s: s.key < bound)  # noqa: B023
             picked = rows.select("_idx", F.explode(some).alias("s")).select("_idx", F.col("s.round").alias("_draw"), F.col("s.key").alias("_key"))
-            if every or picked.groupBy("_draw").count().where(F.col("count") >= k).count() == n_rounds:
+            most = n_rounds * sum(c * -math.expm1(-2 * w * bound) for w, c in levels)  # expected under the bound, at most
+            if not every and most <= FEW_PICKED:
+                few = picked.collect()
+                picked, held = base.sparkSession.createDataFrame(few, picked.schema), Counter(r["_draw"] for r in few)
+                if len(held) == n_rounds and min(held.values()) >= k:
+                    break
+            elif every or picked.groupBy("_draw").count().where(F.col("count") >= k).count() == n_rounds:
                 break
             bound, every = 2 * bound, bound > 2.0**1000
         rank = F.row_number().over(Window.partitionBy("_draw").orderBy("_key", "_idx"))

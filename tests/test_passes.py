@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from batchloom.operators.strategy import ClassBalanced, Weighted
+from batchloom.operators.strategy import BlockShuffle, ClassBalanced, Weighted
 from batchloom.operators.weights import combination_weights
 from batchloom.plans.ordinal import with_ordinal
 
@@ -113,3 +113,25 @@ def test_class_balanced_plan_counts_draws_by_row(spark, monkeypatch, kind):
     assert [k for k, _ in sorted((r["_pos"], r["_idx"]) for r in got.collect())] == list(range(2000))
     assert [tuple(r) for r in s._drawn(b, 2000, 3, 0).select("_s", "_idx").orderBy("_s").collect()] == list(enumerate(drawn))
     assert kind != "a row drawn very often" or 900 < drawn.count(5) < 1100
+
+
+def test_few_rounds_find_their_rows_once(spark, monkeypatch):
+    b = rows(spark).withColumn("w", 0.01 + F.col("_idx") % 7)
+    s = Weighted(8, weights="w", total_size=130, replace=False, sampling_size=50)
+    found = s.rounds(b, 130, 3, 0)
+    assert reads(found) == 0
+    monkeypatch.setattr("batchloom.operators.strategy.FEW_PICKED", 0)
+    wide = s.rounds(b, 130, 3, 0)
+    assert reads(wide) == 1 and sorted(map(tuple, found.collect())) == sorted(map(tuple, wide.collect()))
+
+
+@pytest.mark.parametrize("block", [1, 24])
+def test_blocks_of_rows_ordered_by_two_keys(spark, monkeypatch, block):
+    monkeypatch.setattr("batchloom.plans.ordinal.SMALL", 100)
+    df = rows(spark).select(F.concat(F.lit("type"), (F.col("_idx") % 5).cast("string")).alias("t"), F.col("_idx").alias("e"))
+    b = with_ordinal(df, "t", "e")
+    got = BlockShuffle(block).plan(b, 3).join(b, "_idx")
+    assert reads(got) == 2  # the plan's ids and the payload
+    found = got.orderBy("_pos").collect()
+    assert [r["_pos"] for r in found] == list(range(N))
+    assert [(r["t"], r["e"]) for r in sorted(found, key=lambda r: r["_idx"])] == sorted((f"type{i % 5}", i) for i in range(N))
